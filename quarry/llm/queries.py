@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, topk
+from . import bpe, packing, tokenfile, tokens, topk
+from .common import shared_dir
 
 
 def _read(spark, sf_dir, table):
@@ -24,11 +27,23 @@ def op1_bpe(spark, sf_dir):
     )
 
 
+def op7_packing(spark, sf_dir):
+    found = packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    found = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(found)
+
+
 def op9_topk(spark, sf_dir):
     rows = topk.quantised(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(rows.where("id % 20 = 0"), rows, k=20)
 
 
+def op10_tokenfile(spark, sf_dir):
+    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}/tokens"
+    tokenfile.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), tokens.WORD_PATTERN)
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
@@ -48,7 +63,7 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op9_topk": op9_topk}
+    return {"op1_bpe": op1_bpe, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
 
 
 def oracle_sql():
