@@ -91,7 +91,7 @@ def block_tasks(keyed: DataFrame, key: str, ident: str, block: int) -> DataFrame
     Adds: task (long), lo, hi, side (int; lo = hi = side = 0 for whole keys).
     """
     sizes = keyed.groupBy(key).agg(F.count("*").alias("rows_")).where(F.col("rows_") > 2 * block)
-    sizes = sizes.select(F.col(key).alias("hot_"), F.ceil(F.col("rows_") / block).cast("int").alias("g_"))
+    sizes = stored(sizes.select(F.col(key).alias("hot_"), F.ceil(F.col("rows_") / block).cast("int").alias("g_")), "hot")
     joined = keyed.join(sizes, F.col(key) == F.col("hot_"), "left").drop("hot_")
     side = F.coalesce(F.pmod(F.xxhash64(ident, F.lit("side")), F.col("g_")).cast("int"), F.lit(0))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g_"), F.lit(1)) - 1))
@@ -109,17 +109,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node reachable over the undirected edges.
 
     Alternates large-star and small-star steps, each a grouped aggregation written to the shared folder, until the
-    edges form stars. A star's hub only ever holds a running minimum; the fan-out is a join that AQE can split.
+    edges form stars. The minimum of each node's neighbours is aggregated before the shuffle and stored, so that the join
+    that brings it back to the neighbours is a plain one, which AQE splits where a hub has very many.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         # Large star: every larger neighbour of u links to the smallest of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "large")
         # Small star: u and its smaller neighbours link to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         linked = large.join(low, "u")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()

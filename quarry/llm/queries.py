@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokenfile, tokens, topk
+from . import bpe, embeddedup, packing, simhash, tokenfile, tokens, topk
 from .common import shared_dir
 
 
@@ -27,6 +27,15 @@ def op1_bpe(spark, sf_dir):
     )
 
 
+def op3_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(simhash.fingerprints(_read(spark, sf_dir, "documents")))
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+def op5_embeddings(spark, sf_dir):
+    return embeddedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark, sf_dir):
     found = packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     found = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -63,7 +72,7 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
+    return {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op5_embeddings": op5_embeddings, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
 
 
 def oracle_sql():

@@ -1,0 +1,127 @@
+import math
+import random
+
+import numpy as np
+import xxhash
+
+from quarry.llm import common, embeddedup, simhash
+
+
+def _components(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def _fingerprint(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({i: " " for i in range(9, 14)}).split(" ")
+    words = [w for w in words if w]
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprint():
+    rng = random.Random(1)
+    for text in [None, "", " \x0b\x1f", "One", "one  TWO", "A b\tC", "é É ß\xa0x y z w"] + [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([5, 300, 900]))) for _ in range(20)]:
+        assert simhash.fingerprint(text) == _fingerprint(text), text
+
+
+def test_trees_lose_no_pair():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**64, size=3000, dtype=np.uint64)
+    twins = fps.copy()
+    for _ in range(3):
+        twins ^= np.uint64(1) << rng.integers(0, 64, size=len(fps)).astype(np.uint64)
+    met = np.zeros(len(fps), dtype=bool)
+    for half in (0, 1):
+        (ra, pa), (rb, pb) = simhash.route(fps, half, 9), simhash.route(twins, half, 9)
+        both = set(zip(ra.tolist(), pa.tolist())) & set(zip(rb.tolist(), pb.tolist()))
+        met[[r for r, _ in both]] = True
+    assert met.all()
+
+
+def test_linked_components(spark, monkeypatch):
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(500):  # chains and dense families, many more than a shard holds
+        x = rng.choice(fps[:3] if rng.random() < 0.6 else fps)
+        for _ in range(rng.randint(0, 4)):
+            x ^= 1 << rng.randrange(64)
+        fps.append(x)
+    fps += fps[:5]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    want = _components(len(fps), links)
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    df = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    for shard in (8, 512):
+        monkeypatch.setattr(simhash, "SHARD", shard)
+        got = simhash.near_duplicates(df).collect()
+        assert len(got) == len(fps)
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+def test_simhash_query_and_edges(spark, sf):
+    from quarry.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    fps = [_fingerprint(d.text) for d in docs]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    order = sorted(range(len(docs)), key=lambda i: docs[i].doc_id)
+    place = {i: k for k, i in enumerate(order)}
+    want = _components(len(docs), [(place[a], place[b]) for a, b in links])
+    got = {r.doc_id: r for r in queries.op3_simhash(spark, sf).collect()}
+    for i, d in enumerate(docs):
+        assert got[d.doc_id].fingerprint == f"{fps[i]:016x}"
+        assert got[d.doc_id].component_id == docs[order[want[place[i]]]].doc_id
+    edge = spark.createDataFrame([(4, None), (2, " "), (None, ""), (9, "A B c d"), (9, "a b C D")], "doc_id long, text string").selectExpr("*", "1 as fp", "2 as shard")
+    rows = simhash.near_duplicates(simhash.fingerprints(edge)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 2), (2, 2), (4, 2), (9, 9), (9, 9)]
+    assert simhash.near_duplicates(simhash.fingerprints(edge.limit(0))).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 500)] + [(600, i) for i in range(601, 700)]
+    want = _components(700, links)
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: want[i] for a, b in links if a != b for i in (a, b)}
+
+
+def _brute(vecs, threshold):
+    ok = [v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for v in vecs]
+    unit = [np.array(v) / np.linalg.norm(v) if k else None for v, k in zip(vecs, ok)]
+    return [(i, j) for i in range(len(vecs)) for j in range(i) if ok[i] and ok[j] and len(vecs[i]) == len(vecs[j]) and unit[i] @ unit[j] >= threshold]
+
+
+def test_embeddings(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 16))
+    vecs = [list(map(float, b)) for b in base]
+    for _ in range(250):
+        vecs.append(list(map(float, base[rng.integers(0, 6)] + rng.standard_normal(16) * 0.15)))
+    vecs += [vecs[0], vecs[0], None, [], [0.0] * 16, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 0.0], [2.0, 0.0], [1e200] * 16, [2e200] * 16]
+    links = _brute([[x / 1e200 for x in v] if v and v[0] and v[0] > 1e100 else v for v in vecs], 0.9)
+    want, n = _components(len(vecs), links), [0] * len(vecs)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>").selectExpr("*", "1 as node", "2 as bucket")
+    for bucket in (16, 512):
+        monkeypatch.setattr(embeddedup, "BUCKET", bucket)
+        got = {r.vec_id: r for r in embeddedup.near_duplicates(df, recall=0.9999).collect()}
+        assert len(got) == len(vecs)
+        close = sum(got[i].n_links for i in range(len(vecs)))
+        assert all(got[i].n_links <= n[i] for i in range(len(vecs))) and close >= 0.995 * sum(n)
+        if close == sum(n):
+            assert [got[i].component_id for i in range(len(vecs))] == want
+        assert all(got[i].kept == (got[i].component_id == i) for i in got)
+    assert embeddedup.near_duplicates(df.limit(0)).count() == 0
