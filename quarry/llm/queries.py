@@ -7,8 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embeddedup, packing, simhash, tokenfile, tokens, topk
-from .common import shared_dir
+from . import bpe, embeddedup, langid, packing, quality, simhash, tokenfile, tokens, topk
+from .common import crc_bucket, shared_dir
 
 
 def _read(spark, sf_dir, table):
@@ -27,6 +27,13 @@ def op1_bpe(spark, sf_dir):
     )
 
 
+def op2_langid(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_part(docs))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op3_simhash(spark, sf_dir):
     found = simhash.near_duplicates(simhash.fingerprints(_read(spark, sf_dir, "documents")))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -36,6 +43,18 @@ def op5_embeddings(spark, sf_dir):
     return embeddedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def section(source, lang):
+    """The path of a document that has no address: the section of its host that is in its language."""
+    return F.concat_ws("/", F.coalesce(source, F.lit("")), F.coalesce(lang, F.lit("")))
+
+
+def op6_quality(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "source", "lang"), model, "source", section(F.col("source"), F.col("lang")))
+    return scored.select("doc_id", "source", "evidence", "host_rate", "path_rate", "quality", "keep")
+
+
 def op7_packing(spark, sf_dir):
     found = packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     found = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -72,7 +91,7 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op5_embeddings": op5_embeddings, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
 
 
 def oracle_sql():

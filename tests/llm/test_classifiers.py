@@ -1,0 +1,104 @@
+import math
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from quarry.llm import langid, quality, queries
+
+
+def test_grams_are_chunk_independent(monkeypatch):
+    text = "Straße ÉTÉ\n 12 l'eau " * 40
+    whole = langid.features(text)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    parts = langid.features(text)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op2_langid(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    held = [d for d in docs if zlib.crc32(str(d.doc_id).encode()) % 3 == 1]
+    assert all(got[d.doc_id].held_out == (d in held) for d in docs[:50])
+    assert np.mean([got[d.doc_id].lang_pred == d.lang for d in held]) > 0.98
+    assert np.mean([r.accepted for r in got.values()]) > 0.99
+
+
+def test_language_edges(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et la souris", "fr"), (3, None, "en"), (4, " 12 !?", "fr"), (5, "the " * 100_000, None), (None, "la", "fr"), (1, "the cat and the dog", "en")] * 6
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as buckets")
+    model = langid.fit(df)
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.text is None or r.text == " 12 !?":
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+        else:
+            assert r.lang_pred == ("fr" if "la" in r.text.split() else "en") and 0 <= r.score <= 1
+    empty = langid.fit(df.limit(0))
+    assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
+    assert langid.predict(df.limit(0), model).count() == 0
+
+
+def _rates(docs, probability):
+    """Posterior rates of hosts and paths by plain Python."""
+    paths = defaultdict(lambda: [0, 0.0])
+    for host, path, p in zip(*docs, probability):
+        paths[host, path][0] += 1
+        paths[host, path][1] += p
+
+    def level(sites, parent):
+        n = sum(x for x, _ in sites.values())
+        spread = sum(x * (g / x - parent[s]) ** 2 for s, (x, g) in sites.items())
+        unit = sum(x * parent[s] * (1 - parent[s]) for s, (x, _) in sites.items()) / n
+        between = (spread - len(sites) * unit) / n
+        strength = unit / between if len(sites) > 1 and 0 < between < unit else 1e4
+        strength = min(1e4, max(1, strength))
+        return {s: min(0.999, max(0.001, (strength * parent[s] + g) / (strength + x))) for s, (x, g) in sites.items()}
+
+    hosts = defaultdict(lambda: [0, 0.0])
+    for (h, _), (n, g) in paths.items():
+        hosts[h][0] += n
+        hosts[h][1] += g
+    top = min(0.999, max(0.001, sum(g for _, g in paths.values()) / sum(n for n, _ in paths.values())))
+    host = level(hosts, dict.fromkeys(hosts, top))
+    return host, level(paths, {k: host[k[0]] for k in paths})
+
+
+def test_quality_against_plain_python(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {d.doc_id: d for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = queries.op6_quality(spark, sf).collect()
+    assert len(got) == len(docs)
+    x = np.array([quality.features(docs[i].text) for i in sorted(labels)])
+    y = np.array([float(labels[i] > 0) for i in sorted(labels)])
+    order = sorted(range(len(y)), key=lambda i: (tuple(x[i]), y[i]))
+    model = quality.train(x[order], y[order])
+    evidence = {i: model.evidence(quality.features(d.text)[None])[0] for i, d in docs.items()}
+    ids = sorted(docs)
+    host, path = _rates(([docs[i].source for i in ids], [docs[i].source + "/" + docs[i].lang for i in ids]), [1 / (1 + math.exp(-(evidence[i] + model.base))) for i in ids])
+    for r in got:
+        d = docs[r.doc_id]
+        rate = path[d.source, d.source + "/" + d.lang]
+        assert r.evidence == pytest.approx(evidence[r.doc_id], abs=1e-6)
+        assert r.host_rate == pytest.approx(host[d.source], abs=1e-6) and r.path_rate == pytest.approx(rate, abs=1e-6)
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-evidence[r.doc_id] - math.log(rate / (1 - rate)))), abs=1e-6)
+    kept = {r.doc_id: r.keep for r in got}
+    assert np.mean([kept[i] for i, v in labels.items() if v]) > 0.99
+    assert np.mean([kept[i] for i, v in labels.items() if not v]) < 0.2
+
+
+def test_quality_edges(spark):
+    rows = [(1, None, None, None), (2, "", "a", "a/b"), (None, "x y z", "a", None), (2, "", "a", "a/b"), (3, "w" * 300_000, "b", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").selectExpr("*", "1 as evidence", "2 as host_", "3 as y")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(df, none)
+    got = quality.score(df, model, "host", "path").collect()
+    assert len(got) == len(rows) and all(r.keep and r.evidence == 0 for r in got)
+    assert quality.score(df.limit(0), model, "host", "path").count() == 0
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, 0), (None, 1), (9, None)], "doc_id long, quality int")
+    assert len(quality.score(df, quality.fit(df, labels), "host", "path").collect()) == len(rows)
