@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embeddedup, langid, packing, quality, simhash, tokenfile, tokens, topk
+from . import bpe, embeddedup, langid, packing, pii, quality, simhash, tokenfile, tokens, topk
 from .common import crc_bucket, shared_dir
 
 
@@ -39,6 +39,12 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op4_pii(spark, sf_dir):
+    found = pii.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", pii.is_kind(no))).cast("long").alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.rendered(F.col("base")), 256).alias("base_sha256"), pii.rendered(F.col("spans")).alias("spans"))
+
+
 def op5_embeddings(spark, sf_dir):
     return embeddedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -91,7 +97,7 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_pii": op4_pii, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
 
 
 def oracle_sql():
