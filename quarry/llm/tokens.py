@@ -2,72 +2,81 @@
 
 Real text repeats its pre-tokens, so most of a text's ids come from the cache; the tokenizer itself encodes each
 pre-token that is new to the worker. That gives the same ids as encoding the whole text wherever the split and the
-normalisation of a pre-token don't depend on its surroundings; texts for which this isn't certain (`plain` doesn't
-match the whole text) go through the tokenizer whole.
+normalisation of a pre-token don't depend on its surroundings; texts for which this isn't certain (it isn't all plain
+Latin) go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import array
+import json
+import os
 from functools import lru_cache
+from itertools import compress
 
-import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 300_000
+from .split import PLAIN, splitter
+
+CACHE_ENTRIES = 200_000
 CACHED_CHARS = 40
-#: Latin without combining marks: composed already, and lower-cased character by character.
-PLAIN = r"[\x00-ɏ]*+"
 
 #: How the vocabulary of words splits a text, once it is in lower case.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_PATTERN = r"[\p{L}]+|'(?:[stmd]|re|ve|ll)|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_alphabet() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones as they are, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in own}
+    for b in range(256):
+        out.setdefault(b, chr(256 + len(out) - len(own)))
+    return [out[b] for b in range(256)]
 
 
 class Encoder:
+    """Encodes by a byte-level BPE tokenizer file, given the pattern by which it splits and whether it lower-cases."""
+
     def __init__(self, path: str, pattern: str, lower: bool) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find, self.plain, self.lower = regex.compile(pattern).findall, regex.compile(PLAIN).fullmatch, lower
+        if "ByteLevel" not in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]):
+            raise ValueError("not a byte-level tokenizer")
+        self.model = self.tokenizer.model
+        self.alphabet = byte_alphabet()
+        self.find, self.lower = splitter(pattern), lower
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was met before the cache was last full
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, by one call: the tokenizer takes a list of pieces as already split."""
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        n = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(pieces))
-        packed, ends = np.array(e.ids, dtype="<u4").tobytes(), (4 * np.cumsum(n)).tolist()
-        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    def _piece(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            own = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = array.array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.cache, self.older = {}, self.cache
+            self.cache[piece] = ids
+        return ids
+
+    def one(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; a null text counts as empty."""
+        if not text:
+            return b""
+        if not PLAIN(text):
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = self.find(text.lower() if self.lower else text)
+        found = list(map(self.cache.get, pieces))
+        if None in found:
+            for i in compress(range(len(found)), [x is None for x in found]):
+                found[i] = self.cache.get(pieces[i]) or self._piece(pieces[i])
+        return b"".join(found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
-        out, split = [b""] * len(texts), []
-        known, older, new = self.cache, self.older, {}
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.plain(text):
-                out[i] = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-                continue
-            pieces = self.find(text.lower() if self.lower else text)
-            split.append((i, pieces))
-            for p in pieces:
-                if p not in known and p not in new:
-                    new[p] = older.get(p)
-        missing = [p for p, ids in new.items() if ids is None]
-        if missing:
-            new.update(zip(missing, self._pieces(missing), strict=True))
-        for i, pieces in split:
-            out[i] = b"".join([known[p] if p in known else new[p] for p in pieces])
-        if len(known) >= CACHE_ENTRIES:
-            self.cache, self.older = {}, known
-        self.cache.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_CHARS)
-        return out
+        return [self.one(x) for x in texts]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str, lower: bool) -> Encoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Encoder(path, pattern, lower)
