@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each adjacent pair whose joined bytes have a rank waits in the bucket of that
-rank, by position. Bitmaps of 64-bit words over the ranks, three levels deep, say which buckets hold entries:
+rank, by position. Bitmaps of 256-bit words over the ranks, two levels deep, say which buckets hold entries:
 find-first-set on each level gives the lowest rank in constant time, whatever the length of the pre-token. Within a
 bucket the leftmost position goes first. Entries whose pair has changed since are stale and skipped when met. Each
 merge costs O(log n) at most, where scanning all pairs would cost O(n).
@@ -14,95 +14,94 @@ rows are independent of each other; other columns pass through untouched unless
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import compress
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 400_000
-CACHED_BYTES = 64
-
-
-class RankQueue:
-    """Buckets of positions per rank, and bitmaps of the buckets in use."""
-
-    __slots__ = ("buckets", "low", "middle", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank in use and its leftmost position."""
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.middle[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            self.low[a] = word & ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.middle[b] &= ~(1 << (a & 63))
-                if not self.middle[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
+from .split import splitter
+
+CACHE_ENTRIES = 100_000
+CACHED_CHARS = 40
+
+
+def pair_table(ranks: dict[bytes, int]) -> list[int]:
+    """The rank of each pair of bytes, by 256 * first + second; -1 where there is none."""
+    return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
+    """Ids of one pre-token.
+
+    The queue is kept in local variables, as a call for each entry would cost more than the entry: buckets (rank to
+    positions, a heap), low (256 ranks to a bitmap of those whose bucket holds entries), top (a bitmap over low).
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that begins here; parts are linked by their bounds
     before = list(range(-1, n - 1))
-    pair: list[int | None] = [None] * n  # rank of the pair that begins here; None: not waiting
-    queue = RankQueue()
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    while queue.top:
-        rank, i = queue.pop()
+    pair = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of the pair that begins here
+    pair.append(-1)
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
+    for i, rank in enumerate(pair):
+        if rank >= 0:
+            bucket = buckets.get(rank)
+            if bucket:
+                bucket.append(i)
+            else:
+                buckets[rank] = [i]
+                h = rank >> 8
+                low[h] = low.get(h, 0) | 1 << (rank & 255)
+                top |= 1 << h
+    get = ranks.get
+    while top:
+        h = (top & -top).bit_length() - 1
+        word = low[h]
+        rank = h << 8 | (word & -word).bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket.pop()
+            low[h] = word = word & word - 1
+            if not word:
+                top &= top - 1
         if pair[i] != rank:
             continue  # stale
         j = end[i]
         k = end[i] = end[j]
-        pair[j] = None
+        pair[j] = -1
+        changed = [(i, -1)]
         if k < n:
             before[k] = i
-        for at in (before[i], i):
-            if at >= 0:
-                nxt = end[at]
-                new = ranks.get(piece[at : end[nxt]]) if nxt < n else None
-                if new != pair[at]:
-                    pair[at] = new
-                    if new is not None:
-                        queue.push(new, at)
-                elif at == i and new is not None:
-                    queue.push(new, at)
+            changed = [(i, get(piece[i : end[k]], -1))]
+        at = before[i]
+        if at >= 0:
+            new = get(piece[at:k], -1)
+            if new != pair[at]:
+                changed.append((at, new))
+        for at, new in changed:
+            pair[at] = new
+            if new >= 0:
+                bucket = buckets.get(new)
+                if bucket:
+                    heappush(bucket, at)
+                else:
+                    buckets[new] = [at]
+                    h = new >> 8
+                    low[h] = low.get(h, 0) | 1 << (new & 255)
+                    top |= 1 << h
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -119,16 +118,19 @@ class Codec:
     """Encodes and decodes by a vocabulary of ranks; keeps short pre-tokens it has met, up to a fixed count."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find = ranks, splitter(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.pairs = pair_table(ranks)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was met before the cache was last full
 
     def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        packed = b"".join(i.to_bytes(4, "little") for i in merge(raw, self.ranks))
-        if len(raw) <= CACHED_BYTES:
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = array("I", merge(piece.encode(), self.ranks, self.pairs)).tobytes()
+        if len(piece) <= CACHED_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             self.cache[piece] = packed
         return packed
 
@@ -136,8 +138,12 @@ class Codec:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known, piece = self.cache.get, self._piece
-        return b"".join([known(x) or piece(x) for x in self.find(text)])
+        pieces = self.find(text)
+        found = list(map(self.cache.get, pieces))
+        if None in found:
+            for i in compress(range(len(found)), [x is None for x in found]):
+                found[i] = self.cache.get(pieces[i]) or self._piece(pieces[i])
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
