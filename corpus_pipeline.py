@@ -1,8 +1,55 @@
-"""From documents to packed sequences, stage by stage."""
+"""From documents to packed sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents, but for
+the last one, which returns pieces with their places. docs may be any table with these columns.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quarry.llm import langid, packing, pii, quality, simhash
+from quarry.llm.common import stored
+from quarry.llm.queries import section
+
+
+def identify_language(spark, docs, sf_dir):
+    """Drops documents without a letter and those whose language the model rejects."""
+    model = langid.fit(langid.training_part(docs))
+    return langid.predict(docs, model).where("accepted").select(*docs.columns)
+
+
+def classify_quality(spark, docs, sf_dir):
+    """Drops documents whose posterior log-odds of being good are below the threshold."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, "source", section(F.col("source"), F.col("lang"))).where("keep").select(*docs.columns)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Keeps the document with the smallest id of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def redact_personal_data(spark, docs, sf_dir):
+    """Replaces personal data; n_chars follows."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Cuts and packs the documents' ids into sequences."""
+    found = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_classifier", classify_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Models, fingerprints and tokenizers are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
@@ -10,6 +57,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embeddedup, langid, packing, pii, quality, simhash, tokenfile, tokens, topk
+from . import bpe, embeddedup, langid, lm, packing, pii, quality, simhash, tokenfile, tokens, topk
 from .common import crc_bucket, shared_dir
 
 
@@ -67,6 +67,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(found)
 
 
+def op8_lm(spark, sf_dir):
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark, sf_dir):
     rows = topk.quantised(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(rows.where("id % 20 = 0"), rows, k=20)
@@ -97,7 +101,7 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_pii": op4_pii, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_pii": op4_pii, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
 
 
 def oracle_sql():

@@ -167,5 +167,17 @@ def near_duplicates(prints: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(stored(ids, "ids"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """The row of docs whose id names its component. Of rows that share an id, each distinct text counts as one."""
+    found = near_duplicates(fingerprints(docs, id_col, text_col), radius)
+    names = stored(found.select(F.col("component_id").alias("kept_name_")).distinct(), "names")
+    kept = docs.join(names, F.col(f"`{id_col}`").eqNullSafe(F.col("kept_name_")), "left_semi")
+    shared = stored(docs.groupBy(F.col(f"`{id_col}`").alias("shared_id_")).count().where("count > 1").select("shared_id_"), "shared")
+    if shared.isEmpty():
+        return kept
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("shared_id_"))
+    return kept.join(shared, same, "left_anti").unionByName(kept.join(shared, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
