@@ -18,8 +18,7 @@ def _read(spark, sf_dir, table):
 def op1_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path, pattern).drop("text")
-    return bpe.decode(encoded, path, pattern).select(
+    return bpe.round_trip(docs, path, pattern).select(
         "doc_id",
         bpe.id_count().alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
