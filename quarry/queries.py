@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .core_queries import QUERIES, hybrid_search
+from .oracles import ORACLES
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(10)
+    return hybrid_search(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
