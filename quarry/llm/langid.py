@@ -3,8 +3,8 @@
 A text's subwords are the 1- to 4-byte grams of its letters in lower case, in UTF-8, with a space on each side of a
 word and none across words. Each has a row of an embedding table by its hash; the text's vector is the average over all
 its subwords, and a linear softmax gives the languages. Both are trained together by stochastic gradient descent in
-numpy, on the driver, from a bounded sample of labelled rows: the `per_lang` rows of each language with the smallest
-hashes of their ids (features are made on the executors, so that what reaches the driver has a bound whatever the
+numpy, on the driver, from a bounded sample of labelled rows: about `per_lang` rows of each language, those with the
+smallest hashes of their ids (features are made on the executors, so that what reaches the driver has a bound whatever the
 lengths of the texts). A fifth of the sample calibrates a temperature for the scores and, from the share of it that may
 be lost, the score below which a text is rejected. As both layers are linear, the executors get one table of
 subword logits.
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,11 +130,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, max_langs: int = 256, **training) -> Model:
-    """Train on the rows of docs with a language: at most per_lang of each of the max_langs most frequent languages."""
+    """Train on the rows of docs with a language: about per_lang of each of the max_langs most frequent languages."""
     rows = fresh(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang is not null and doc_id is not null")
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang)
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    # A row is chosen by the hash of its id alone: no sort, and no language's rows meet in one task.
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = rows.join(F.broadcast(common), "lang").where(share < per_lang / F.col("n"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 names=["lang", "buckets", "counts"],
             )
 
-    sample = rows.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).select("text", "lang").limit(per_lang * max_langs)
+    sample = chosen.select("text", "lang").limit(2 * per_lang * max_langs)
     got = sample.mapInArrow(each, "lang string, buckets binary, counts binary").collect()
     # An order of their own, so that the same rows always give the same model.
     parts = sorted((r.lang, bytes(r.buckets), bytes(r.counts)) for r in got)
