@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,22 @@ def overlap_reranker(query: str) -> Callable[[Column], Column]:
     return score
 
 
+def batch_reranker(factory, batch: int = 32) -> Reranker:
+    """A cross-encoder behind a factory: factory() gives a function from (query, texts) to scores; loaded once a task."""
+
+    def of(query: str) -> Callable[[Column], Column]:
+        @F.pandas_udf("double")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = factory()
+            for texts in batches:
+                values = texts.fillna("").tolist()
+                yield pd.Series([float(s) for i in range(0, len(values), batch) for s in model(query, values[i : i + batch])], index=texts.index)
+
+        return score
+
+    return of
+
+
 def search(
     chunks: DataFrame,
     query: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, hybrid, lexical, sync
+from ..operators import catalog, hybrid, lexical, sync, vector
 from ..operators.items import SearchFilters, versions
 from .store import SnapshotStore
 
@@ -33,6 +33,7 @@ class Engine:
         chunks = self.store.table("chunks")
         if chunks.isEmpty():
             raise EmptyIndex("the index is empty; run build_index first")
+        chunks = vector.check_dimension(chunks, self.embedder.dim)
         found, stats = self._lexicon()
         hits = hybrid.search(chunks, query, self.embedder.one(query), limit, filters, reranker, found, stats)
         return hybrid.search_output(hits)
