@@ -1,8 +1,9 @@
 """Keyword search: postings, corpus statistics, a query grammar, and BM25.
 
-Postings are a table (field, term, chunk_id, tf, len), built once and written partitioned by a hash of the term, so that
-a query reads the buckets of its terms alone. Statistics are corpus-wide: chunks, average field lengths, document
-frequencies. A query's terms are few, so they reach the postings as literals; scores are sums grouped by chunk.
+Postings are a table (field, term, chunk_id, item_key, tf, len, positions), kept in the index in ranges of terms and
+sorted, so that a query's terms, which reach the scan as literals, skip all other row groups; a frequent term spans
+several ranges. Statistics are corpus-wide: chunks, average field lengths, document frequencies. Scores are sums grouped
+by chunk.
 """
 
 from __future__ import annotations
@@ -40,11 +41,16 @@ def occurrences(chunks: DataFrame, fields: list[str] = FIELDS, stemming: bool =
 
 
 def postings(chunks: DataFrame, fields: list[str] = FIELDS, stemming: bool = False) -> DataFrame:
-    """(field, term, chunk_id, tf, len, positions)."""
+    """(field, term, chunk_id, item_key, tf, len, positions)."""
     found = occurrences(chunks, fields, stemming)
-    lengths = chunks.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(F.coalesce(f, F.lit("")))).alias("len")) for f in fields])).alias("x")).select("chunk_id", "x.*")
+    lengths = chunks.select("chunk_id", "item_key", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(F.coalesce(f, F.lit("")))).alias("len")) for f in fields])).alias("x")).select("chunk_id", "item_key", "x.*")
     counted = found.groupBy("field", "term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return counted.join(lengths, ["field", "chunk_id"]).select("field", "term", "chunk_id", "tf", "len", "positions")
+    return counted.join(lengths, ["field", "chunk_id"]).select("field", "term", "chunk_id", "item_key", "tf", "len", "positions")
+
+
+def ranged(found: DataFrame) -> DataFrame:
+    """Postings in the order in which an index keeps them."""
+    return found.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "field")
 
 
 def statistics(chunks: DataFrame, fields: list[str] = FIELDS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, hybrid, lexical, sync, vector
+from ..operators import catalog, hybrid, sync, vector
 from ..operators.items import SearchFilters, versions
 from .store import SnapshotStore
 
@@ -17,24 +17,13 @@ class EmptyIndex(RuntimeError):
 class Engine:
     def __init__(self, store: SnapshotStore, embedder, items: DataFrame | None = None) -> None:
         self.store, self.embedder, self.items = store, embedder, items
-        self._postings = self._stats = self._at = None
-
-    def _lexicon(self) -> tuple[DataFrame, DataFrame]:
-        """Postings and statistics of the current snapshot, made on its first search and kept."""
-        if self._at != self.store.folder:
-            if self._postings is not None:
-                self._postings.unpersist()
-            chunks = self.store.table("chunks")
-            self._postings = lexical.postings(chunks, stemming=True).repartition("term").persist()
-            self._stats, self._at = lexical.statistics(chunks), self.store.folder
-        return self._postings, self._stats
 
     def search(self, query: str, limit: int = 10, filters: SearchFilters | None = None, reranker=None) -> DataFrame:
         chunks = self.store.table("chunks")
         if chunks.isEmpty():
             raise EmptyIndex("the index is empty; run build_index first")
         chunks = vector.check_dimension(chunks, self.embedder.dim)
-        found, stats = self._lexicon()
+        found, stats = self.store.table("postings"), self.store.table("stats")
         hits = hybrid.search(chunks, query, self.embedder.one(query), limit, filters, reranker, found, stats)
         return hybrid.search_output(hits)
 
