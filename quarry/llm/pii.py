@@ -302,14 +302,18 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind_no"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with base and spans: array<struct<start, kind_no, end>> by start, then kind (its place in KINDS)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = let(
-        text,
+def found_spans(text: Column) -> Column:
+    """struct<base, spans> of a text: arrays of struct<start, kind_no, end> by start, then kind (its place in KINDS)."""
+    return let(
+        F.coalesce(text, F.lit("")),
         lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.array_sort(F.array_union(b, added_spans(t, b))).alias("spans"))),
     )
-    return df.withColumn("pii_", found).withColumn("base", F.col("pii_.base")).withColumn("spans", F.col("pii_.spans")).drop("pii_")
+
+
+def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with base and spans; columns of these names are replaced."""
+    held = df.drop("base", "spans").withColumn("pii_found_", found_spans(F.col(f"`{text_col}`")))
+    return held.withColumn("base", F.col("pii_found_.base")).withColumn("spans", F.col("pii_found_.spans")).drop("pii_found_")
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -329,8 +333,6 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the spans in text_col replaced; null texts stay null."""
-    columns = df.columns
-    found = detect(df.select("*", F.col(text_col).alias("pii_text_")).drop("base", "spans"), "pii_text_")
-    clean = F.when(F.col("pii_text_").isNotNull(), redacted(F.col("pii_text_"), F.col("spans")))
-    kept = [clean.alias(c) if c == text_col else (F.col(c) if c not in ("base", "spans") else None) for c in columns]
-    return found.select(*[c for c in kept if c is not None])
+    text = F.col(f"`{text_col}`")
+    held = df.withColumn("pii_found_", found_spans(text))
+    return held.withColumn(text_col, F.when(text.isNotNull(), redacted(text, F.col("pii_found_.spans")))).drop("pii_found_").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -43,7 +43,7 @@ def test_base_against_plain_patterns(spark):
     texts = [None, "", "1" * 5000, "a.a" * 3000 + "@b.c", "x@" + "a." * 6000 + "b", "1 " * 4000, "1.2.3.4 " * 400, "a@b.c_d@e.f", "+1 " + "(" * 3000]
     texts += ["".join(rng.choice(atoms) for _ in range(rng.choice([4, 15, 60]))) for _ in range(800)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as base", "2 as pii_")
-    got = {r.doc_id: r for r in pii.detect(df.drop("base", "pii_")).select("doc_id", "base", "spans").collect()}
+    got = {r.doc_id: r for r in pii.detect(df).select("doc_id", "base", "spans").collect()}
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
         assert [tuple(s) for s in got[i].base] == brute(text), repr(text)[:200]
@@ -64,6 +64,8 @@ def test_added_spans_and_redaction(spark):
     for i, text, want in rows:
         assert got[i] == (want if want is not None else text)
     assert pii.redact(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "'kept' as spans", "7 as base", "'x' as m")
+    assert pii.redact(clash).columns == clash.columns and {(r.spans, r.base) for r in pii.redact(clash).collect()} == {("kept", 7)}
 
 
 def test_trees_in_sql_equal_trees_in_python(spark):
