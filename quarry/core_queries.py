@@ -219,8 +219,7 @@ def _two_lists(spark, sf_dir, filters=None):
     """Keyword and dense lists of 50 chunks for the fixed query, with scores rounded so that engines rank alike."""
     c, s = _bm25(spark, sf_dir, TERMS.split())
     e = embed.HashingEmbedder(DIM)
-    target = F.array(*[F.lit(x) for x in e.one(TERMS)])
-    dense = c.select("chunk_id", F.round(text.cosine(e.column("text"), target), 6).alias("score"))
+    dense = e.cosines(c, e.one(TERMS)).select("chunk_id", F.round("score", 6).alias("score"))
     words = s.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
     if filters is not None:
         allowed = filters.apply(c).select("chunk_id")

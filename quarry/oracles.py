@@ -111,6 +111,19 @@ ORACLES = {
       dfs AS (SELECT field, term, count(*) AS df FROM post WHERE tf > 0 GROUP BY 1, 2)
       SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
       FROM post JOIN dfs USING (field, term) JOIN stats USING (field) WHERE tf > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""",
+    "bm25_grammar": rf"""WITH {CHUNKS}, f AS (SELECT chunk_id, 'text' AS field, text AS t FROM chunks UNION ALL SELECT chunk_id, 'title', title FROM chunks UNION ALL SELECT chunk_id, 'creators', creators FROM chunks),
+      toks AS (SELECT chunk_id, field, [z FOR z IN regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') IF strlen(z) < 40] AS w FROM f),
+      stats AS (SELECT field, count(*) AS n, avg(len(w)) AS avg_len FROM toks GROUP BY 1),
+      want AS (SELECT * FROM (VALUES ('the', 1.0), ('of', 1.0), ('and', 1.0), ('src3', 2.0)) v(term, boost)),
+      post AS (SELECT chunk_id, field, term, boost, len(w) AS len, len([x FOR x IN w IF x = term]) AS tf FROM toks, want WHERE term <> 'src3' OR field = 'creators'),
+      dfs AS (SELECT field, term, count(*) AS df FROM post WHERE tf > 0 GROUP BY 1, 2),
+      s AS (SELECT chunk_id, term, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS s FROM post JOIN dfs USING (field, term) JOIN stats USING (field) WHERE tf > 0)
+      SELECT chunk_id, round(sum(s), 6) AS score FROM s WHERE chunk_id IN (SELECT chunk_id FROM s WHERE term = 'the') AND chunk_id NOT IN (SELECT chunk_id FROM toks WHERE list_contains(w, 'que'))
+      GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""",
+    "phrase_query": rf"""WITH {CHUNKS}, toks AS (SELECT chunk_id, [z FOR z IN regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') IF strlen(z) < 40] AS w FROM chunks),
+      k AS (SELECT count(*) AS n, avg(len(w)) AS avg_len, count(*) FILTER (list_contains(w, 'of')) AS d1, count(*) FILTER (list_contains(w, 'the')) AS d2 FROM toks),
+      p AS (SELECT chunk_id, len(w) AS len, len([i FOR i IN range(1, len(w)) IF w[i] = 'of' AND w[i + 1] = 'the']) AS tf FROM toks)
+      SELECT chunk_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)), 6) AS score FROM p, k WHERE tf > 0""",
     "cosine_top": f"SELECT v.vec_id, round({_COSINE}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 0) w ORDER BY {_COSINE} DESC, 1 LIMIT 20",
     "cosine_filtered": f"SELECT v.vec_id, round({_COSINE}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 0) w WHERE v.label = 3 ORDER BY {_COSINE} DESC, 1 LIMIT 10",
     "cosine_many": f"""SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT w.vec_id AS query_id, v.vec_id, {_COSINE} AS s, row_number() OVER (PARTITION BY w.vec_id ORDER BY {_COSINE} DESC, v.vec_id) AS n
