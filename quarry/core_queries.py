@@ -36,8 +36,7 @@ def _documents(spark, sf_dir):
 
 def _full_chunks(spark, sf_dir):
     found = _documents(spark, sf_dir)
-    carried = found.select("item_key", "title", "creators", "tags", "item_type", "collections")
-    return chunk.fulltext_chunks(found, "item_key", "fulltext").join(carried, "item_key")
+    return chunk.fulltext_chunks(found, "item_key", "fulltext", carry=["title", "creators", "tags", "item_type", "collections"])
 
 
 # SQL of the same tables.
@@ -135,40 +134,30 @@ def doc_frequency(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, terms, fields=("text",)):
-    """Scores of a fixed query. The terms are pushed to the tokens, so that postings of other terms aren't even made."""
+    """Chunks, and their scores for a fixed query, rounded so that engines rank alike."""
     c = _full_chunks(spark, sf_dir)
-    fields = list(fields)
-    parts = [c.select("chunk_id", F.lit(f).alias("field"), text.tokens(f).alias("t")) for f in fields]
-    flat = parts[0]
-    for p in parts[1:]:
-        flat = flat.unionByName(p)
-    counts = F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.struct(t.alias("term"), F.size(F.filter("t", lambda w: w == t)).alias("tf")))
-    found = flat.select("chunk_id", "field", F.size("t").alias("len"), F.explode(counts).alias("x")).select("chunk_id", "field", "len", "x.*").where("tf > 0")
-    return c, lexical.term_scores(found, lexical.statistics(c, fields), terms, fields)
+    return c, lexical.scan_scores(c, terms, list(fields)).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def bm25_top(spark, sf_dir):
-    _, s = _bm25(spark, sf_dir, TERMS.split())
-    rounded = s.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
-    return lexical.top(rounded, 50)
+    return lexical.top(_bm25(spark, sf_dir, TERMS.split())[1], 50)
 
 
 def bm25_filtered(spark, sf_dir):
-    c, s = _bm25(spark, sf_dir, TERMS.split())
+    c, scored = _bm25(spark, sf_dir, TERMS.split())
     allowed = SearchFilters(tag="src3", item_type="en").apply(c).select("chunk_id")
-    rounded = s.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score")).join(allowed, "chunk_id", "left_semi")
-    return lexical.top(rounded, 20)
+    return lexical.top(scored.join(allowed, "chunk_id", "left_semi"), 20)
 
 
 def bm25_per_item(spark, sf_dir):
-    c, s = _bm25(spark, sf_dir, TERMS.split())
-    rounded = s.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score")).join(c.select("chunk_id", "item_key"), "chunk_id")
-    return lexical.top(hybrid.best_per_item(rounded).select("item_key", "chunk_id", "score"), 20, "item_key")
+    c, scored = _bm25(spark, sf_dir, TERMS.split())
+    # A chunk's id names its item.
+    hits = scored.withColumn("item_key", F.regexp_extract("chunk_id", "^(.*)_[0-9]+$", 1))
+    return lexical.top(hybrid.best_per_item(hits).select("item_key", "chunk_id", "score"), 20, "item_key")
 
 
 def bm25_multi_field(spark, sf_dir):
-    _, s = _bm25(spark, sf_dir, ["src3", "document", "the"], ("text", "title", "creators"))
-    return lexical.top(s.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score")), 30)
+    return lexical.top(_bm25(spark, sf_dir, ["src3", "document", "the"], ("text", "title", "creators"))[1], 30)
 
 
 def bm25_grammar(spark, sf_dir):
@@ -217,10 +206,9 @@ def cosine_many(spark, sf_dir):
 
 def _two_lists(spark, sf_dir, filters=None):
     """Keyword and dense lists of 50 chunks for the fixed query, with scores rounded so that engines rank alike."""
-    c, s = _bm25(spark, sf_dir, TERMS.split())
+    c, words = _bm25(spark, sf_dir, TERMS.split())
     e = embed.HashingEmbedder(DIM)
     dense = e.cosines(c, e.one(TERMS)).select("chunk_id", F.round("score", 6).alias("score"))
-    words = s.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
     if filters is not None:
         allowed = filters.apply(c).select("chunk_id")
         words, dense = words.join(allowed, "chunk_id", "left_semi"), dense.join(allowed, "chunk_id", "left_semi")

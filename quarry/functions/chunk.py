@@ -29,9 +29,10 @@ def windows(c, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     )
 
 
-def fulltext_chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(chunk_id, item_key, chunk_type, i, char_start, char_end, text)."""
-    exploded = df.select(F.col(key).cast("string").alias("item_key"), F.explode(windows(text, size, overlap)).alias("w"))
+def fulltext_chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP, carry: list[str] | None = None) -> DataFrame:
+    """(chunk_id, item_key, chunk_type, i, char_start, char_end, text) and the columns to carry, which come along without a join."""
+    carried = [F.col(c) for c in carry or []]
+    exploded = df.select(F.col(key).cast("string").alias("item_key"), *carried, F.explode(windows(text, size, overlap)).alias("w"))
     return exploded.select(
         F.concat_ws("_", "item_key", F.col("w.i").cast("string")).alias("chunk_id"),
         "item_key",
@@ -40,10 +41,11 @@ def fulltext_chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overla
         F.col("w.start").alias("char_start"),
         F.col("w.end").alias("char_end"),
         F.col("w.text").alias("text"),
+        *carried,
     )
 
 
-def metadata_chunks(items: DataFrame) -> DataFrame:
+def metadata_chunks(items: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One chunk for each item, of title, authors, abstract and tags; also for items without any of them."""
     return items.select(
         F.concat("item_key", F.lit("_meta")).alias("chunk_id"),
@@ -53,12 +55,13 @@ def metadata_chunks(items: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("char_start"),
         F.lit(0).cast("long").alias("char_end"),
         metadata_text("title", "creators", "abstract_note", F.array_join("tags", ", ")).alias("text"),
+        *[F.col(c) for c in carry or []],
     )
 
 
-def chunk_items(items: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """All chunks of items (item_key, title, creators, abstract_note, tags, fulltext)."""
-    return metadata_chunks(items).unionByName(fulltext_chunks(items, "item_key", "fulltext", size, overlap))
+def chunk_items(items: DataFrame, size: int = SIZE, overlap: int = OVERLAP, carry: list[str] | None = None) -> DataFrame:
+    """All chunks of items (item_key, title, creators, abstract_note, tags, fulltext), with the columns to carry."""
+    return metadata_chunks(items, carry).unionByName(fulltext_chunks(items, "item_key", "fulltext", size, overlap, carry))
 
 
 def owns(chunk_id, item_key) -> Column:

@@ -80,6 +80,33 @@ def term_scores(found: DataFrame, stats: DataFrame, terms: list[str], fields: li
     return joined.select("term", "field", "chunk_id", bm25(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("len"), F.col("avg_len")).alias("score"))
 
 
+def scan_scores(chunks: DataFrame, terms: list[str], fields: list[str] = FIELDS) -> DataFrame:
+    """(chunk_id, score) of all chunks with any of the terms, straight from the texts: for queries without an index.
+
+    Two scans and no shuffle of rows: one row of statistics (chunks, average lengths, document frequencies), then sums
+    over the terms of each chunk.
+    """
+    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
+    found = chunks.select("chunk_id", *[_counted(f, wanted).alias(f"f{i}") for i, f in enumerate(fields)])
+    n = len(dict.fromkeys(terms))
+    parts = [(i, j) for i in range(len(fields)) for j in range(n)]
+    stats = found.agg(
+        F.count("*").alias("n"), *[F.avg(f"f{i}.len").alias(f"avg{i}") for i in range(len(fields))], *[F.count_if(F.col(f"f{i}.tf")[j] > 0).alias(f"df{i}_{j}") for i, j in parts]
+    )
+    score, any_term = F.lit(0.0), F.lit(False)
+    for i, j in parts:
+        tf = F.col(f"f{i}.tf")[j]
+        score = score + F.when(tf > 0, bm25(idf(F.col("n"), F.col(f"df{i}_{j}")), tf, F.col(f"f{i}.len"), F.col(f"avg{i}"))).otherwise(0.0)
+        any_term = any_term | (tf > 0)
+    return found.where(any_term).crossJoin(F.broadcast(stats)).select("chunk_id", score.alias("score"))  # stats has one row
+
+
+def _counted(name: str, wanted: Column) -> Column:
+    """struct<len, tf>: a field's length and how often it has each wanted term; its tokens are made once."""
+    count = lambda t: F.struct(F.size(t).alias("len"), F.transform(wanted, lambda w: F.size(F.filter(t, lambda x: x == w))).alias("tf"))
+    return F.transform(F.array(tokens(F.coalesce(name, F.lit("")))), count)[0]
+
+
 # The query grammar.
 
 
