@@ -170,8 +170,12 @@ def near_duplicates(prints: DataFrame, radius: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """The row of docs whose id names its component. Of rows that share an id, each distinct text counts as one."""
     found = near_duplicates(fingerprints(docs, id_col, text_col), radius)
-    names = stored(found.select(F.col("component_id").alias("kept_name_")).distinct(), "names")
-    kept = docs.join(names, F.col(f"`{id_col}`").eqNullSafe(F.col("kept_name_")), "left_semi")
+    found = stored(found.select(F.col("doc_id").alias("dropped_id_"), F.col("component_id").alias("name_")), "found")
+    names = found.select("name_").distinct()
+    # The ids that go are far fewer than those that stay: where they are few enough, AQE sends them to the texts, and
+    # only else moves the texts to them.
+    dropped = stored(found.select("dropped_id_").distinct().join(names, F.col("dropped_id_").eqNullSafe(F.col("name_")), "left_anti"), "dropped")
+    kept = docs.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col("dropped_id_")), "left_anti")
     shared = stored(docs.groupBy(F.col(f"`{id_col}`").alias("shared_id_")).count().where("count > 1").select("shared_id_"), "shared")
     if shared.isEmpty():
         return kept
