@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from .functions import chunk, stem, text
 from .operators import catalog, embed, extract, hybrid, items, lexical, sync, vector
 from .operators.items import SearchFilters
+from .session import spread
 
 TERMS = "the of que"
 DIM = 64
 
 
 def _read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = {"documents": "doc_id", "pages": "page_id"}.get(name)  # the tables with long texts
+    return spread(df, key) if key else df
 
 
 def _pad(c):

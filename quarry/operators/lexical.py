@@ -31,21 +31,22 @@ def terms_of(text: str, stemming: bool = False, long: int = 40) -> list[str]:
 
 
 def occurrences(chunks: DataFrame, fields: list[str] = FIELDS, stemming: bool = False) -> DataFrame:
-    """(field, chunk_id, term, position): one row a token. Stems come from the distinct terms."""
+    """(field, chunk_id, item_key, len, term, position): one row a token. Stems come from the distinct terms."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("terms")) for f in fields]))
-    flat = chunks.select("chunk_id", each.alias("x")).select("chunk_id", "x.field", F.posexplode("x.terms").alias("position", "term"))
+    flat = chunks.select("chunk_id", "item_key", each.alias("x")).select("chunk_id", "item_key", "x.field", F.size("x.terms").alias("len"), F.posexplode("x.terms").alias("position", "term"))
     if not stemming:
-        return flat.select("field", "chunk_id", "term", "position")
+        return flat
     stems = stemmed(flat.select("term").distinct())
-    return flat.join(stems, "term").select("field", "chunk_id", F.col("stem").alias("term"), "position")
+    return flat.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
 
 
 def postings(chunks: DataFrame, fields: list[str] = FIELDS, stemming: bool = False) -> DataFrame:
     """(field, term, chunk_id, item_key, tf, len, positions)."""
     found = occurrences(chunks, fields, stemming)
-    lengths = chunks.select("chunk_id", "item_key", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(F.coalesce(f, F.lit("")))).alias("len")) for f in fields])).alias("x")).select("chunk_id", "item_key", "x.*")
-    counted = found.groupBy("field", "term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return counted.join(lengths, ["field", "chunk_id"]).select("field", "term", "chunk_id", "item_key", "tf", "len", "positions")
+    counted = found.groupBy("field", "term", "chunk_id").agg(
+        F.first("item_key").alias("item_key"), F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("position")).alias("positions")
+    )
+    return counted.select("field", "term", "chunk_id", "item_key", "tf", "len", "positions")
 
 
 def ranged(found: DataFrame) -> DataFrame:
