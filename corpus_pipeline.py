@@ -10,25 +10,25 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quarry.llm import langid, packing, pii, quality, simhash
-from quarry.llm.common import stored
+from quarry.llm.common import stored, text_batches
 from quarry.llm.queries import section
 
 
 def identify_language(spark, docs, sf_dir):
     """Drops documents without a letter and those whose language the model rejects."""
-    model = langid.fit(langid.training_part(docs))
+    model = langid.fit(langid.training_part(text_batches(docs)))
     return langid.predict(docs, model).where("accepted").select(*docs.columns)
 
 
 def classify_quality(spark, docs, sf_dir):
     """Drops documents whose posterior log-odds of being good are below the threshold."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.fit(text_batches(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, "source", section(F.col("source"), F.col("lang"))).where("keep").select(*docs.columns)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Keeps the document with the smallest id of each group of near copies."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(text_batches(docs))
 
 
 def redact_personal_data(spark, docs, sf_dir):
@@ -39,7 +39,8 @@ def redact_personal_data(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Cuts and packs the documents' ids into sequences."""
-    found = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    # The same workers hold what the other stages need: a smaller cache than packing alone could have.
+    found = packing.pieces(text_batches(docs), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, cache_entries=40_000)
     return packing.pack(found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -41,6 +42,23 @@ def fresh(df: DataFrame, *used: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in used])
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose texts are about to go to Python: a session that sends 10,000 rows at once is set to fewer, as texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
+def trim_memory() -> None:
+    """Give what a worker has freed back to the system: workers are kept between tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def crc_bucket(doc_id, modulus: int):
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

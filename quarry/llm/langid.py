@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, fresh
+from .common import crc_bucket, fresh, trim_memory
 
 BUCKETS = 1 << 15
 GRAMS = 4
@@ -169,6 +169,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 lang, score = [x for x, _ in found], [x for _, x in found]
                 accepted = [x != "und" and s >= own.reject for x, s in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=schema.names)
+        trim_memory()
 
     return kept.mapInArrow(each, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import fresh, stored
+from .common import fresh, stored, trim_memory
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -40,12 +40,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, lower: bool = False, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, lower: bool = False, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = tokens.CACHE_ENTRIES) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and end_id, cut; ids as packed unsigned 32-bit."""
     end = end_id.to_bytes(4, "little")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(vocabulary, pattern, lower)
+        encoder = tokens.encoder(vocabulary, pattern, lower, cache_entries)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, lower: bool = False,
                             column.append(x)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+        trim_memory()
 
     return fresh(docs, id_col, text_col).mapInArrow(each, PIECES)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_tasks, components, fresh, merge_labels, over_runs, stored
+from .common import block_tasks, components, fresh, merge_labels, over_runs, stored, trim_memory
 
 SEED = 42
 HALF_RADIUS = 1
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(begin, 512)
                 fp = np.array([fingerprint(x, shingle) for x in part.column(1).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        trim_memory()
 
     rows = fresh(docs, id_col, text_col).toDF("doc_id", "text")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")

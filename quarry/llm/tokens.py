@@ -37,14 +37,14 @@ def byte_alphabet() -> list[str]:
 class Encoder:
     """Encodes by a byte-level BPE tokenizer file, given the pattern by which it splits and whether it lower-cases."""
 
-    def __init__(self, path: str, pattern: str, lower: bool) -> None:
+    def __init__(self, path: str, pattern: str, lower: bool, cache_entries: int = CACHE_ENTRIES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if "ByteLevel" not in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]):
             raise ValueError("not a byte-level tokenizer")
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
-        self.find, self.lower = splitter(pattern), lower
+        self.find, self.lower, self.cache_entries = splitter(pattern), lower, cache_entries
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was met before the cache was last full
 
@@ -54,7 +54,7 @@ class Encoder:
             own = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.alphabet)
             ids = array.array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
         if len(piece) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
+            if len(self.cache) >= self.cache_entries:
                 self.cache, self.older = {}, self.cache
             self.cache[piece] = ids
         return ids
@@ -77,6 +77,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str, lower: bool) -> Encoder:
+def encoder(path: str, pattern: str, lower: bool, cache_entries: int = CACHE_ENTRIES) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Encoder(path, pattern, lower)
+    return Encoder(path, pattern, lower, cache_entries)
