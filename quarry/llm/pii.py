@@ -32,7 +32,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])|0++)"  # zeros alone leave nothing for the number
 VALID_IP = rf"^{PART}(?:\.{PART}){{3}}$"
 GENERATORS = {
     "number": r"(?<![0-9A-Za-z+@._-])(?:\([0-9]{1,4}\)[ ]?)?[0-9]{2,}+(?:[ .-][0-9]{2,}+)*+(?![0-9A-Za-z@])",

@@ -50,6 +50,14 @@ def test_base_against_plain_patterns(spark):
         assert set(map(tuple, got[i].base)) <= set(map(tuple, got[i].spans))
 
 
+def test_base_ips_with_zero_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "a 192.168.00.1, 8.8.4.0 b", "010.1.2.3", "000.0000.00.0", "0256.0.0.1", "10.0.0.256", "1.0.0.0.0", "0" * 4000 + ".0.0.255", "0" * 4000 + ".0.0.256"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.detect(df).select("doc_id", "base").collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == brute(text), repr(text)[:200]
+
+
 def test_added_spans_and_redaction(spark):
     rows = [
         (1, "please call me at (414) 555-7134 or 414-555-7135", "please call me at [PHONE] or [PHONE]"),
