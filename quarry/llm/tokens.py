@@ -3,7 +3,8 @@
 Real text repeats its pre-tokens, so most of a text's ids come from the cache; the tokenizer itself encodes each
 pre-token that is new to the worker. That gives the same ids as encoding the whole text wherever the split and the
 normalisation of a pre-token don't depend on its surroundings; texts for which this isn't certain (it isn't all plain
-Latin) go through the tokenizer whole.
+Latin) go through the tokenizer whole. So do texts that hold the content of one of the tokenizer's added tokens, such
+as <|endoftext|>: as by the library's default, each is one id.
 """
 
 from __future__ import annotations
@@ -35,11 +36,18 @@ def byte_alphabet() -> list[str]:
 
 
 class Encoder:
-    """Encodes by a byte-level BPE tokenizer file, given the pattern by which it splits and whether it lower-cases."""
+    """Encodes by a byte-level BPE tokenizer file, given the pattern by which it splits and whether it lower-cases.
 
-    def __init__(self, path: str, pattern: str, lower: bool, cache_entries: int = CACHE_ENTRIES) -> None:
+    added: whether added tokens in a text get their own ids; else their characters are split like any others.
+    """
+
+    def __init__(self, path: str, pattern: str, lower: bool, cache_entries: int = CACHE_ENTRIES, added: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in tokens):
+            raise ValueError("an added token is matched in the normalised text")
+        self.added = [t.content for t in tokens] if added else []
         if "ByteLevel" not in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]):
             raise ValueError("not a byte-level tokenizer")
         self.model = self.tokenizer.model
@@ -63,7 +71,7 @@ class Encoder:
         """Ids of a text as little-endian unsigned 32-bit integers; a null text counts as empty."""
         if not text:
             return b""
-        if not PLAIN(text):
+        if not PLAIN(text) or any(x in text for x in self.added):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = self.find(text.lower() if self.lower else text)
         found = list(map(self.cache.get, pieces))
@@ -79,4 +87,4 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str, lower: bool, cache_entries: int = CACHE_ENTRIES) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Encoder(path, pattern, lower, cache_entries)
+    return Encoder(path, pattern, lower, cache_entries, added=True)

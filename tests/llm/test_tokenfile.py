@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm import tokenfile, tokens
+from quarry.llm import packing, tokenfile, tokens
 
 WORD = P.path("word_bpe_49k.json")
 
@@ -38,6 +38,26 @@ def test_cached_encoding_equals_whole_texts():
             assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_as_by_the_library(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|><|endoftext|>Y  z", "<|ENDOFTEXT|> <|endoftext| >", "中文 <|endoftext|> a", "It's <|startoftext|>\n'LL", "plain"]
+    for path, pattern, lower in ((WORD, tokens.WORD_PATTERN, True), (P.path("byte_bpe_50k.json"), P.PATTERN, False)):
+        t = Tokenizer.from_file(path)
+        for text, ids in zip(texts, tokens.encoder(path, pattern, lower).encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenfile.write(df, str(tmp_path / "a"), WORD, tokens.WORD_PATTERN)
+    t, at = Tokenizer.from_file(WORD), 0
+    for r in sorted(tokenfile.read(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start):
+        ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.start, bytes(r.ids)) == (at, np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = packing.pieces(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    for i, text in enumerate(texts):
+        ids = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(ids, "<u4").tolist()[: len(t.encode(text, add_special_tokens=False).ids)] == t.encode(text, add_special_tokens=False).ids
+
+
 def test_files(spark, tmp_path):
     rows = [(5, "five five"), (None, "none"), (3, None), (3, ""), (9, "x" * 50_000), (-2, "minus")] + [(100 + i, f"doc {i} of many") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as file", "2 as payload")
