@@ -122,9 +122,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs:
         y = np.array([y for y, _, _ in held])
         losses = [(-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean(), t) for t in np.geomspace(0.25, 8, 26)]
         model.temperature = float(min(losses)[1])
-        # A language is rejected only where the scores of right answers hardly ever lie, and never above an even guess.
-        right = softmax(z / model.temperature).max(axis=1)
-        model.reject = float(min(np.quantile(right, lost), 1.5 / (len(langs) + 1)))
+        # A language is rejected only where the scores of held rows hardly ever lie.
+        model.reject = float(np.quantile(softmax(z / model.temperature).max(axis=1), lost))
     model.logits = logits.astype(np.float32)
     return model
 

@@ -43,6 +43,22 @@ def test_language_edges(spark):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def test_unseen_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(langid.training_part(docs))
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。",
+        "xkcdrt bnmplq wrtzsd fghjkl qzxvbn mtrplk " * 10,
+    ]
+    assert [x for x in strange if model.predict(x)[1] >= model.reject] == []
+    held = [model.predict(d.text) for d in docs.collect() if zlib.crc32(str(d.doc_id).encode()) % 3 == 1]
+    assert np.mean([score >= model.reject for _, score in held]) > 0.98
+
+
 def _rates(docs, probability):
     """Posterior rates of hosts and paths by plain Python."""
     paths = defaultdict(lambda: [0, 0.0])
