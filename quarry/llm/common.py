@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -15,21 +16,47 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_FOLDERS: dict[str, SparkSession] = {}  # what this process has written and not yet released
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; its folder is deleted by release(), or when the driver's process ends."""
+    folder = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.unregister(release)
+        atexit.register(release)
+    _FOLDERS[folder] = spark
+    return f"{folder}/{name}"
+
+
+def release() -> None:
+    """Delete the intermediate tables of this process. Results that still read them must have been written before."""
+    for folder, spark in list(_FOLDERS.items()):
+        _FOLDERS.pop(folder)
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        except Exception:  # noqa: BLE001, PERF203 - the JVM may be gone: the folder stays, as after a crash
+            return
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and outlives any executor.
 
-    The table belongs to the DataFrames made from it; drop the folder quarry-* once their results are written.
+    The table belongs to the DataFrames made from it, until release().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -37,6 +64,11 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def nested(df: DataFrame, **own) -> DataFrame:
+    """df's columns in one struct row_, beside an operator's own ones, so that names can't clash; unnest by select("row_.*")."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"), *[c.alias(n) for n, c in own.items()])
+
+
 def fresh(df: DataFrame, *used: str) -> DataFrame:
     """Only the named columns, so that clashing extra columns can't reach an operator's own names."""
     return df.select(*[F.col(f"`{c}`") for c in used])

@@ -3,17 +3,19 @@
 A document longer than a sequence is cut into full pieces, its remainder being the first piece, so that only remainders
 and shorter documents need packing. Lengths are whole numbers up to the capacity, so the corpus is summed up by how
 many pieces there are of each length: a table of at most `capacity` rows, whatever the input. On it the planner takes
-the longest length left and looks for the best filling of the room beside it: a branch-and-bound over completions
-without those that another one dominates (a filling that swaps one piece for a longer one that still fits, or that
-leaves room for a further piece), pruned by the waste that remains at best, with the best-fit-decreasing filling as the
-first incumbent. The filling found is repeated as often as the counts allow. Full sequences can't be improved on, and
-the incumbent keeps the search short.
+the longest length left and looks for the best filling of the room beside it: a branch-and-bound over completions by
+descending length, pruned by the waste that remains at best, with the best-fit-decreasing filling as the first
+incumbent. Dominated completions aren't enumerated where that can be told at once: of the pieces after which nothing
+more fits, only the longest is tried; any other dominated one wastes more than the one that dominates it, so it never
+becomes the incumbent in its place. The filling found is repeated as often as the counts allow. Full sequences can't be
+improved on, and the incumbent keeps the search short; it is iterative, so no number of pieces is too deep for it.
 
 Pieces then find their places without meeting each other: the n-th piece of a length, counted from per-partition
 counts, belongs to the plan entry whose range of n holds it.
 
 Edge cases: a null text counts as empty; every document ends with end_id, so that none has length 0. Equal ids and
-repeated rows are packed as separate documents. An empty table gives no rows.
+repeated rows are packed as separate documents. An empty table gives no rows. Other columns of the packed table pass
+through, whatever their names; sequence_id and offset are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import fresh, stored, trim_memory
+from .common import fresh, nested, stored, trim_memory
 
+GROUP = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -69,6 +72,7 @@ class Completion:
         self.counts = dict(counts)
         self.lengths = sorted(counts)
         self.node_limit = node_limit
+        self.unproven = 0  # fillings for which the limit was met
 
     def _best_fit(self, room: int) -> list[int]:
         """The longest piece that fits, again and again: the incumbent."""
@@ -96,32 +100,38 @@ class Completion:
         for x in self.lengths:
             below.append(below[-1] + x * self.counts[x])
 
-        def search(room: int, hi: int, taken: list[int]) -> bool:
-            """Completions by descending length. True: no better one is possible, or the limit is met."""
-            nonlocal best, waste, nodes
-            nodes += 1
-            if room < waste:
-                best, waste = list(taken), room
-            if not waste or nodes > self.node_limit:
-                return True
-            hi = bisect.bisect_right(self.lengths, room, 0, hi)
-            closed = False
-            while hi and room - below[hi] < waste:  # else even all that is left wastes as much as the best
+        # Depth first, without recursion: a frame is the room left, how many of the lengths may still be taken, and
+        # whether a closing piece was tried; taken holds the piece that led to each frame but the first.
+        frames: list[list] = [[room, bisect.bisect_right(self.lengths, room), False]]
+        taken: list[int] = []
+        while frames:
+            left, hi, closed = frames[-1]
+            piece = None
+            while hi and left - below[hi] < waste:  # else even all that is left wastes as much as the best
                 x = self.lengths[hi - 1]
-                closes = room - x < smallest
+                closes = left - x < smallest
                 if used.get(x, 0) < self.counts[x] and not (closes and closed):
                     closed |= closes  # a longer closing piece dominates all shorter ones
-                    used[x] = used.get(x, 0) + 1
-                    taken.append(x)
-                    done = search(room - x, hi, taken)
-                    taken.pop()
-                    used[x] -= 1
-                    if done:
-                        return True
+                    piece = x
+                    break
                 hi -= 1
-            return False
-
-        search(room, len(self.lengths), [])
+            if piece is None:
+                frames.pop()
+                if taken:
+                    used[taken.pop()] -= 1
+                continue
+            # Back here the next shorter length is tried: fillings with more of this one lie below.
+            frames[-1][1:] = [hi - 1, closed]
+            used[piece] = used.get(piece, 0) + 1
+            taken.append(piece)
+            left -= piece
+            nodes += 1
+            if left < waste:
+                best, waste = list(taken), left
+            if not waste or nodes >= self.node_limit:
+                self.unproven += bool(waste)
+                break
+            frames.append([left, bisect.bisect_right(self.lengths, left, 0, hi), False])
         return best
 
     def take(self, pattern: list[int]) -> int:
@@ -185,41 +195,51 @@ def pack(found: DataFrame, capacity: int = 2048, node_limit: int = 4000) -> Data
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+            length = batch.column(1).to_numpy()
             order = np.argsort(length, kind="stable")
             ordered = length[order]
             place = np.empty(len(length), dtype=np.int64)
             place[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered)
             place += seen[length]
             seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, dtype=np.int32)), pa.array(place)], names=[*batch.schema.names, "part_", "place_"])
-
-    kept = found.columns
-    found = stored(found.mapInArrow(numbered, T.StructType([*found.schema.fields, T.StructField("part_", T.IntegerType()), T.StructField("place_", T.LongType())])), "pieces")
-    per = found.groupBy("length", "part_").agg(F.count("*").alias("n"))
-    per = stored(per, "counts")
+            for begin in range(0, len(length), GROUP):
+                size = len(length[begin : begin + GROUP])
+                lists = [pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), x.slice(begin, size)) for x in (batch.column(0), batch.column(1), pa.array(place))]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], names=["part", "rows", "lengths", "places"])
+
+    rows = nested(found.drop("sequence_id", "offset"), length=F.col("length").cast("long"))
+    row = rows.schema["row_"].dataType
+    longs = T.ArrayType(T.LongType())
+    # Pieces travel in groups, so that what belongs to a partition as a whole is joined to groups, not to pieces.
+    grouped = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("rows", T.ArrayType(row)), T.StructField("lengths", longs), T.StructField("places", longs)])
+    groups = stored(rows.mapInArrow(numbered, grouped), "pieces")
+    per = stored(groups.select("part", F.explode("lengths").alias("length")).groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     counts = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = found.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity, node_limit)))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
-    base = per.select("part_", "length", F.coalesce(before, F.lit(0)).alias("before_"))
+    places = groups.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity, node_limit)))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # A row for each partition: where its rows of each length begin. At most `capacity` numbers each.
+    base = per.select("part", F.struct("length", F.coalesce(before, F.lit(0)).alias("before")).alias("x"))
+    base = base.groupBy("part").agg(F.collect_list("x").alias("x")).select("part", F.col("x.length").alias("known"), F.col("x.before").alias("before"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy()  # noqa: B023, E731
-            length, number = get("length"), get("place_") + get("before_")
-            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-                if not len(own):
-                    continue
-                x = int(length[own[0]])
-                first, start, at, slots = places.value[x]
-                entry = np.searchsorted(first, number[own], side="right") - 1
-                k = number[own] - first[entry]
-                sequence[own] = start[entry] + k // slots[entry]
-                offset[own] = at[entry] + k % slots[entry] * x
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
-
-    schema = T.StructType([*found.select(*kept).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return found.join(base, ["part_", "length"]).mapInArrow(placed, schema)
+            for i in range(batch.num_rows):
+                pieces, length, number, known, earlier = (batch.column(c)[i].values for c in range(5))
+                length = length.to_numpy()
+                base = np.zeros(capacity + 1, dtype=np.int64)
+                base[known.to_numpy()] = earlier.to_numpy()
+                number = number.to_numpy() + base[length]
+                sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+                order = np.argsort(length, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                    x = int(length[own[0]])
+                    first, start, at, slots = places.value[x]
+                    entry = np.searchsorted(first, number[own], side="right") - 1
+                    k = number[own] - first[entry]
+                    sequence[own] = start[entry] + k // slots[entry]
+                    offset[own] = at[entry] + k % slots[entry] * x
+                yield pa.RecordBatch.from_arrays([pieces, pa.array(sequence), pa.array(offset)], names=["row_", "sequence_id", "offset"])
+
+    schema = T.StructType([T.StructField("row_", row), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    out = groups.join(base, "part").select("rows", "lengths", "places", "known", "before").mapInArrow(placed, schema)
+    return out.select("row_.*", "sequence_id", "offset")

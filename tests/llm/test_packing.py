@@ -71,3 +71,37 @@ def test_edges(spark):
     assert len([r for r in got if r.piece == 0]) == len(rows)
     _valid(got, 2048)
     assert packing.pack(packing.pieces(df.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
+
+
+def test_short_documents_do_not_recurse():
+    for counts in ({2: 5000, 3: 1}, {1: 3, 2: 4000, 7: 900}, {2: 1023, 2045: 1, 3: 1, 5: 2}):
+        used = defaultdict(int)
+        for pattern, times in packing.plan(counts, 2048):
+            assert sum(pattern) <= 2048
+            for x in pattern:
+                used[x] += times
+        assert used == counts
+
+
+def test_fillings_are_least_where_proven():
+    rng = random.Random(4)
+    for _ in range(200):
+        counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 7))}
+        room = rng.randint(1, 60)
+        search = packing.Completion(counts, 10**6)
+        have = search.fill(room)
+        reach = {0}
+        for x, n in counts.items():
+            reach = {a + k * x for a in reach for k in range(n + 1)}
+        assert sum(have) == max(a for a in reach if a <= room) and search.unproven == 0
+        assert all(have.count(x) <= counts[x] for x in have)
+
+
+def test_one_word_documents_and_clashing_columns(spark):
+    rows = [(i, "word" if i % 3 else "the word") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = packing.pieces(df, P.path("byte_bpe_50k.json"), P.PATTERN)
+    more = found.selectExpr("*", "'a' as part_", "'b' as place_", "1 as before_", "2 as part", "3 as rows", "4 as sequence_id", "5 as row_")
+    got = packing.pack(more).collect()
+    assert len(got) == len(rows) and _valid(got, 2048) == -(-sum(r.length for r in got) // 2048)
+    assert {(r.part_, r.place_, r.before_, r.part, r.rows, r.row_) for r in got} == {("a", "b", 1, 2, 3, 5)}
