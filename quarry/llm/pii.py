@@ -12,7 +12,7 @@ match, so that no text makes them backtrack or recurse without bound.
 
 Edge cases: a null text counts as empty: no spans, counts of 0, the digest of the empty string. Texts are taken whole,
 positions are in code points. Spans of different kinds may overlap; redaction replaces each stretch of overlapping
-spans once, by the first one's kind. Other columns pass through unless they bear an output name.
+spans once, by the first one's kind. Other columns pass through, whatever their names, unless they bear an output's.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import nested
+
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: Leftmost matches of these are those of the plain patterns; a run is only entered at its start or where the last match ended.
@@ -312,8 +314,8 @@ def found_spans(text: Column) -> Column:
 
 def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with base and spans; columns of these names are replaced."""
-    held = df.drop("base", "spans").withColumn("pii_found_", found_spans(F.col(f"`{text_col}`")))
-    return held.withColumn("base", F.col("pii_found_.base")).withColumn("spans", F.col("pii_found_.spans")).drop("pii_found_")
+    held = nested(df.drop("base", "spans"), found=found_spans(F.col(f"`{text_col}`")))
+    return held.select("row_.*", "found.base", "found.spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -333,6 +335,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the spans in text_col replaced; null texts stay null."""
-    text = F.col(f"`{text_col}`")
-    held = df.withColumn("pii_found_", found_spans(text))
-    return held.withColumn(text_col, F.when(text.isNotNull(), redacted(text, F.col("pii_found_.spans")))).drop("pii_found_").select(*[F.col(f"`{c}`") for c in df.columns])
+    text = F.col(f"row_.`{text_col}`")
+    held = nested(df, found=found_spans(F.col(f"`{text_col}`")))
+    clean = F.when(text.isNotNull(), redacted(text, F.col("found.spans"))).alias(text_col)
+    return held.select(*[clean if c == text_col else F.col(f"row_.`{c}`") for c in df.columns])

@@ -18,7 +18,8 @@ A task emits links as stars to the smallest fingerprint of each of its groups, n
 found by grouped aggregation.
 
 Edge cases: null, empty or blank texts have the fingerprint zero and link like any other. A null doc_id takes part
-but can't name a component unless all are null. Repeated rows each give a row.
+but can't name a component unless all are null. Repeated rows each give a row. keep_one passes all columns through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_tasks, components, fresh, merge_labels, over_runs, stored, trim_memory
+from .common import block_tasks, components, fresh, merge_labels, nested, over_runs, stored, trim_memory
 
 SEED = 42
 HALF_RADIUS = 1
@@ -176,12 +177,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     # The ids that go are far fewer than those that stay: where they are few enough, AQE sends them to the texts, and
     # only else moves the texts to them.
     dropped = stored(found.select("dropped_id_").distinct().join(names, F.col("dropped_id_").eqNullSafe(F.col("name_")), "left_anti"), "dropped")
-    kept = docs.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col("dropped_id_")), "left_anti")
-    shared = stored(docs.groupBy(F.col(f"`{id_col}`").alias("shared_id_")).count().where("count > 1").select("shared_id_"), "shared")
+    rows = nested(docs, id_=F.col(f"`{id_col}`"))
+    kept = rows.join(dropped, F.col("id_").eqNullSafe(F.col("dropped_id_")), "left_anti")
+    shared = stored(rows.groupBy("id_").count().where("count > 1").select(F.col("id_").alias("shared_id_")), "shared")
     if shared.isEmpty():
-        return kept
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("shared_id_"))
-    return kept.join(shared, same, "left_anti").unionByName(kept.join(shared, same, "left_semi").dropDuplicates([id_col, text_col]))
+        return kept.select("row_.*")
+    same = F.col("id_").eqNullSafe(F.col("shared_id_"))
+    twice = kept.join(shared, same, "left_semi").withColumn("text_", F.col(f"row_.`{text_col}`")).dropDuplicates(["id_", "text_"])
+    return kept.join(shared, same, "left_anti").select("row_.*").unionByName(twice.select("row_.*"))
 
 
 def hex16(fp):

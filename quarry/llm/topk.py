@@ -7,7 +7,8 @@ level, so that no task ever holds the lists of a query from all shards.
 
 Edge cases: a vector that is null, empty, or holds a null or non-finite component takes no part, neither as query nor
 as candidate. Vectors of different lengths are never compared. A row is not its query's candidate if their ids are
-equal, so repeated ids are left out as well; a null id takes no part. Ties go to the smaller id. An empty table gives
+equal, so repeated ids are left out as well; a null id takes no part. Each row of queries has a list of its own, also
+where ids or whole rows repeat. Other columns of the tables are left out, whatever their names. Ties go to the smaller id. An empty table gives
 no rows. Products are exact: double precision while all partial sums stay below 2^53, Python integers beyond that; a
 score beyond a long raises OverflowError.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, over_runs
+from .common import fresh, over_runs, stored
 
 ROW_BLOCK = 4096
 
@@ -65,9 +66,9 @@ def best(score: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tup
 def _tile_task(k: int):
     def work(table: pa.Table) -> pa.Table | None:
         is_query = table["is_query"].to_numpy()
-        ids = table["id"].to_numpy()
+        ids, copies, marks = (table[c].to_numpy() for c in ("id", "copies", "mark"))
         m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["vec"].chunks]).reshape(len(ids), -1)
-        qid, q = ids[is_query], m[is_query]
+        qid, q, copies, marks = ids[is_query], m[is_query], copies[is_query], marks[is_query]
         rid, r = ids[~is_query], m[~is_query]
         if not len(qid) or not len(rid):
             return None
@@ -81,25 +82,31 @@ def _tile_task(k: int):
             top = np.arange(len(row)) - np.searchsorted(row, row) < k
             kept = [row[top], found[top], score[top]]
         shard = np.full(len(kept[0]), table["shard"][0].as_py(), dtype=np.int32)
-        return pa.table({"query_id": qid[kept[0]], "vec_id": kept[1], "score": kept[2], "shard": shard})
+        return pa.table({"query_id": qid[kept[0]], "mark": marks[kept[0]], "copies": copies[kept[0]], "vec_id": kept[1], "score": kept[2], "shard": shard})
 
     return work
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, tile: int = 2048, shard_rows: int = 32768, fan: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score) for frames made by quantised(); every query against every row."""
+    # Equal rows of queries are one query with a number of copies; mark tells those apart that only share their id.
+    queries = queries.groupBy("id", "dim", "vec").agg(F.count("*").alias("copies")).withColumn("mark", F.xxhash64("vec"))
+    queries = stored(queries, "queries")
     n_q, n_r = queries.count(), rows.count()
     tiles, shards = max(1, -(-n_q // tile)), max(1, -(-n_r // shard_rows))
     shards = max(shards, min(-(-n_r // 4096), -(-rows.sparkSession.sparkContext.defaultParallelism * 2 // tiles)))
     # A shard's rows go to every tile of queries, a tile's queries to every shard: tiles * shards tasks of bounded size.
-    q = queries.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(True))
+    q = queries.withColumn("tile", F.pmod(F.xxhash64("id", "mark"), F.lit(tiles)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(True))
     r = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("is_query", F.lit(False))
-    both = q.unionByName(r).withColumn("task", F.xxhash64("tile", "shard", "dim")).select("task", "shard", "id", "is_query", "vec")
-    lists = over_runs(both, "task", _tile_task(k), "query_id long, vec_id long, score long, shard int", max(tiles * shards, 1))
+    r = r.withColumns({"copies": F.lit(0).cast("long"), "mark": F.lit(0).cast("long")})
+    both = q.unionByName(r).withColumn("task", F.xxhash64("tile", "shard", "dim")).select("task", "shard", "id", "mark", "copies", "is_query", "vec")
+    lists = over_runs(both, "task", _tile_task(k), "query_id long, mark long, copies long, vec_id long, score long, shard int", max(tiles * shards, 1))
+    query = ["query_id", "mark", "copies"]
     while shards > 1:
         shards = -(-shards // fan)
-        lists = ranked(lists.withColumn("shard", (F.col("shard") / fan).cast("int")), ["query_id", "shard"], k).drop("rank")
-    return ranked(lists, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+        lists = ranked(lists.withColumn("shard", (F.col("shard") / fan).cast("int")), [*query, "shard"], k).drop("rank")
+    lists = ranked(lists, query, k)
+    return lists.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
 def ranked(lists: DataFrame, by: list[str], k: int) -> DataFrame:
