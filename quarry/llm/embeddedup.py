@@ -12,7 +12,8 @@ its groups, never all pairs.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, not even with
 equal ones; each is its own component. Only vectors of the same length are compared. A null vec_id links and counts,
-but can't name a component unless all are null. Repeated ids are separate vectors.
+but can't name a component unless all are null. Repeated ids are separate vectors. Vectors are told apart by 128 bits of
+hashes. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import block_tasks, components, fresh, merge_labels, over_runs, stored
 
-BUCKET = 512
+BUCKET = 4096
 WIDTH = 2.0
 
 
@@ -62,6 +63,27 @@ def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).reshape(n, -1)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that squares stay finite."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _packed(m: np.ndarray) -> list[bytes]:
+    """Each row's bytes, in single precision where that holds all its values exactly; the first byte is the width of a value."""
+    with np.errstate(over="ignore"):
+        single = m.astype(np.float32)
+    exact = (single == m).all(axis=1)
+    return [b"\4" + single[i].tobytes() if exact[i] else b"\x08" + m[i].tobytes() for i in range(len(m))]
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    """Rows of one length, in double precision."""
+    if all(r[0] == 4 for r in rows):
+        return np.frombuffer(b"".join(r[1:] for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
+    return np.array([np.frombuffer(r, np.float32 if r[0] == 4 else np.float64, offset=1) for r in rows], dtype=np.float64)
+
+
 def buckets(nodes: DataFrame, k: int, tables: int) -> DataFrame:
     """(bucket, node, copies, table, hashes, vec) for each table of each node."""
 
@@ -73,12 +95,13 @@ def buckets(nodes: DataFrame, k: int, tables: int) -> DataFrame:
                 for rows in np.array_split(np.flatnonzero(dims == dim), -(-int((dims == dim).sum()) // 1024)):
                     at = pa.array(rows)
                     m = _matrix(vecs.take(at), len(rows))
-                    found = _hashes(m / np.linalg.norm(m, axis=1, keepdims=True), k, tables)
-                    packed = pa.array([m[i].tobytes() for i in range(len(rows))], pa.binary())
+                    found = _hashes(_unit(m), k, tables)
+                    short = (found >> 32).astype("<i4")  # tells tables' buckets apart, but for one pair in 2^32
+                    packed = pa.array(_packed(m), pa.binary())
                     for t in range(tables):
                         with np.errstate(over="ignore"):
                             key = found[:, t] * np.int64(1_000_003) + t * 8191 + int(dim)
-                        before = pa.array([found[i, : t].tobytes() for i in range(len(rows))], pa.binary())
+                        before = pa.array([short[i, :t].tobytes() for i in range(len(rows))], pa.binary())
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(key), node.take(at), copies.take(at), before, packed], names=["bucket", "node", "copies", "earlier", "vec"]
                         )
@@ -93,16 +116,15 @@ def _compare(cosine: float):
             return None
         node, copies, side = (table[c].to_numpy() for c in ("node", "copies", "side"))
         raw, earlier = table["vec"].to_pylist(), table["earlier"].to_pylist()
-        sizes = {(len(v), len(e)) for v, e in zip(raw, earlier, strict=True)}
-        if len(sizes) > 1:  # buckets of other tables or lengths under an equal key
-            keep = np.array([hash((len(v), len(e))) for v, e in zip(raw, earlier, strict=True)])
+        kinds = [(len(v) // v[0], len(e)) for v, e in zip(raw, earlier, strict=True)]
+        if len(set(kinds)) > 1:  # buckets of other tables or lengths under an equal key
+            keep = np.array([list(dict.fromkeys(kinds)).index(x) for x in kinds])
             parts = [work(table.filter(pa.array(keep == x))) for x in np.unique(keep)]
             parts = [p for p in parts if p is not None]
             return pa.concat_tables(parts) if parts else None
-        m = np.frombuffer(b"".join(raw)).reshape(n, -1)
-        m = m / np.linalg.norm(m, axis=1, keepdims=True)
-        tables = len(earlier[0]) // 8
-        before = np.frombuffer(b"".join(earlier), dtype=np.int64).reshape(n, tables)
+        m = _unit(_unpacked(raw))
+        tables = len(earlier[0]) // 4
+        before = np.frombuffer(b"".join(earlier), dtype="<i4").reshape(n, tables)
         whole = table["lo"][0].as_py() == table["hi"][0].as_py()
         left = np.arange(n) if whole else np.flatnonzero(side == table["lo"][0].as_py())
         right = left if whole else np.flatnonzero(side == table["hi"][0].as_py())
@@ -137,11 +159,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     x = F.col("vec")
     usable = F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = fresh(df, id_col, vec_col).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    # Scaled by the largest component, so that squares stay finite; -0.0 and 0.0 are one value.
-    scaled = F.transform(x, lambda v: v / F.array_max(F.transform(x, F.abs)) + F.lit(0.0))
-    rows = rows.withColumn("vec", F.when(usable, scaled)).withColumn("sum_", F.when(x.isNotNull(), F.sha2(F.to_json(x), 256)))
-    nodes = rows.where(x.isNotNull()).groupBy("sum_").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.min("vec").alias("vec"))
-    nodes = stored(nodes.select("sum_", F.xxhash64("sum_").alias("node"), "copies", "first", "vec", F.size("vec").alias("dim")), "nodes")
+    # -0.0 and 0.0 are one value. Two hashes by different seeds tell vectors apart; they cost one pass over the components.
+    rows = rows.withColumn("vec", F.when(usable, F.transform(x, lambda v: v + F.lit(0.0))))
+    rows = rows.withColumns({"h1": F.when(x.isNotNull(), F.xxhash64(x)), "h2": F.when(x.isNotNull(), F.xxhash64(F.lit(1), x))})
+    nodes = rows.where(x.isNotNull()).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.any_value("vec").alias("vec"))
+    nodes = stored(nodes.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), "copies", "first", "vec", F.size("vec").alias("dim")), "nodes")
     k, tables = parameters(nodes.count(), cosine, recall)
     dealt = block_tasks(stored(buckets(nodes, k, tables), "buckets"), "bucket", "node", BUCKET)
     found = over_runs(dealt.select("task", "node", "copies", "side", "lo", "hi", "earlier", "vec"), "task", _compare(cosine), "node long, links long, `to` long")
@@ -151,8 +173,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     linked = stored(nodes.select("node", "first").join(groups, F.col("node") == F.col("member")).select("node", "first", "component"), "linked")
     least = stored(linked.groupBy("component").agg(F.min("first").alias("least")), "least")
     moved = linked.join(least, "component").select("node", "least")
-    known = nodes.select("sum_", "node", "copies", "first").join(counts, "node", "left").join(moved, "node", "left")
-    known = stored(known.select("sum_", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "known")
-    out = rows.select("vec_id", "sum_").join(known, "sum_", "left")
-    component = F.when(F.col("sum_").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    known = nodes.select("h1", "h2", "node", "copies", "first").join(counts, "node", "left").join(moved, "node", "left")
+    known = stored(known.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "known")
+    out = rows.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

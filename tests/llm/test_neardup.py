@@ -125,3 +125,47 @@ def test_embeddings(spark, monkeypatch):
             assert [got[i].component_id for i in range(len(vecs))] == want
         assert all(got[i].kept == (got[i].component_id == i) for i in got)
     assert embeddedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_query_and_default_recall(spark, sf, monkeypatch):
+    from quarry.llm import queries
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids = [r.vec_id for r in rows]
+    links = _brute([r.embedding for r in rows], 0.9)
+    n = dict.fromkeys(ids, 0)
+    for a, b in links:
+        n[ids[a]] += 1
+        n[ids[b]] += 1
+    got = {r.vec_id: r for r in queries.op5_embeddings(spark, sf).collect()}
+    assert set(got) == set(ids) and all(got[i].n_links <= n[i] for i in ids)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(n.values())
+    # Pairs right at the threshold, many buckets, the default recall.
+    rng = np.random.default_rng(8)
+    vecs = []
+    for _ in range(600):
+        a, b = rng.standard_normal((2, 24))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        vecs += [a, 0.9005 * a + math.sqrt(1 - 0.9005**2) * b]
+    monkeypatch.setattr(embeddedup, "BUCKET", 32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddedup.near_duplicates(df).collect()}
+    found = sum(got[i].component_id == got[i + 1].component_id for i in range(0, len(vecs), 2))
+    assert found >= 0.9 * len(vecs) / 2
+
+
+def test_kept_documents_and_clashing_columns(spark):
+    rows = [(1, "one two three four"), (2, "ONE two three four"), (3, "other words are here"), (3, "quite another text of id three"), (3, "other words are here"), (None, "a null id"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as dropped_id_", "'y' as shared_id_", "1 as id_", "2 as row_", "3 as count", "4 as name_")
+    got = simhash.keep_one(df).collect()
+    assert got[0].asDict().keys() == set(df.columns) and {(r.dropped_id_, r.shared_id_, r.id_, r.row_, r["count"], r.name_) for r in got} == {("x", "y", 1, 2, 3, 4)}
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "a null id"), (1, "one two three four"), (3, "other words are here"), (3, "quite another text of id three"), (5, "")]
+
+
+def test_packed_vectors():
+    m = np.array([[0.5, -2.0, 0.0], [0.1, 1e300, 3.0], [1.0, 2.0, 3.0]])
+    packed = embeddedup._packed(m)
+    assert [p[0] for p in packed] == [4, 8, 4] and (embeddedup._unpacked(packed) == m).all()
+    assert (embeddedup._unpacked([packed[0], packed[2]]) == m[[0, 2]]).all()
