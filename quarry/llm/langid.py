@@ -5,12 +5,17 @@ word and none across words. Each has a row of an embedding table by its hash; th
 its subwords, and a linear softmax gives the languages. Both are trained together by stochastic gradient descent in
 numpy, on the driver, from a bounded sample of labelled rows: about `per_lang` rows of each language, those with the
 smallest hashes of their ids (features are made on the executors, so that what reaches the driver has a bound whatever the
-lengths of the texts). A fifth of the sample calibrates a temperature for the scores and, from the share of it that may
-be lost, the score below which a text is rejected. As both layers are linear, the executors get one table of
-subword logits.
+lengths of the texts). As both layers are linear, the executors get one table of subword logits.
+
+Rejection: the softmax has one more class for what is no known language. Its examples are made from the sample's texts:
+letters shuffled over the text or turned round in each word, random letters, consonants, other scripts, at all lengths.
+A fifth of the sample, held out, calibrates a temperature and the score below which a text is rejected: between the
+scores of held texts of the languages (of which at most the share `lost` may be rejected) and those of held strange
+ones, half-way in log-odds (nearer to the strange ones if few known ones are held); where the two overlap, texts of the languages have priority.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0 and is rejected; so is every text if no row
-is labelled. Texts are taken whole. Equal scores go to the language first in order. Repeated rows each give a row.
+is labelled. Texts are taken whole. Equal scores go to the language first in order. Repeated rows each give a row. Other
+columns pass through, whatever their names, unless they bear an output's. More languages than max_langs raise ValueError.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, fresh, trim_memory
+from .common import crc_bucket, fresh, stored, trim_memory
 
 BUCKETS = 1 << 15
 GRAMS = 4
@@ -65,16 +70,39 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
+#: First and last letters of scripts to make strange texts of.
+SCRIPTS = [("α", "ω"), ("а", "я"), ("א", "ת"), ("ا", "ي"), ("अ", "ह"), ("ก", "ฮ"), ("ぁ", "ゖ"), ("가", "힣"), ("一", "龥")]
+STRANGE_CHARS = 2000
+
+
+def strange(text: str, rng: np.random.Generator) -> str:
+    """A text of no language, made from at most STRANGE_CHARS letters of a text."""
+    words = NOT_LETTERS.sub(" ", text.lower())[:STRANGE_CHARS].split()
+    words = words[: int(np.ceil(len(words) * rng.random() ** 2))] or ["a"]
+    kind = rng.integers(0, 5)
+    if kind == 0:
+        return " ".join(w[::-1] for w in words)
+    if kind == 1:
+        letters = rng.permutation(list("".join(words)))
+    else:
+        n = sum(map(len, words))
+        a, z = SCRIPTS[rng.integers(0, len(SCRIPTS))]
+        pool = {2: "abcdefghijklmnopqrstuvwxyz", 3: "bcdfghjklmnpqrstvwxz"}.get(int(kind)) or "".join(map(chr, range(ord(a), ord(z) + 1)))
+        letters = np.array(list(pool))[rng.integers(0, len(pool), n)]
+    ends = np.cumsum([len(w) for w in words])
+    return " ".join("".join(letters[e - len(w) : e]) for w, e in zip(words, ends, strict=True))
+
+
 @dataclass
 class Model:
     langs: list[str]
-    logits: np.ndarray  # [bucket, language], summed and divided by the number of subwords
+    logits: np.ndarray  # [bucket, language, and a last column for none], summed and divided by the number of subwords
     bias: np.ndarray
     temperature: float
     reject: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total, n = np.zeros(len(self.langs)), 0
+        total, n = np.zeros(len(self.langs) + 1), 0
         for found in grams(text):
             n += len(found)
             counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS // 4 else None
@@ -82,7 +110,7 @@ class Model:
         if not n or not self.langs:
             return "und", 0.0
         p = softmax((total / n + self.bias) / self.temperature)
-        best = int(p.argmax())
+        best = int(p[:-1].argmax())
         return self.langs[best], float(p[best])
 
 
@@ -91,16 +119,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 8, rate: float = 2.0, lost: float = 0.001, seed: int = 7) -> Model:
-    """A model from (language, buckets, counts); lost: the share of the calibration rows that may be rejected."""
-    langs = sorted({lang for lang, at, _ in rows if len(at)})
-    rows = [(langs.index(lang), at, c / c.sum()) for lang, at, c in rows if len(at)]
+def train(rows: list[tuple[str | None, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 8, rate: float = 2.0, lost: float = 0.001, seed: int = 7) -> Model:
+    """A model from (language or None for strange texts, buckets, counts); lost: the share of the languages' calibration rows that may be rejected."""
+    langs = sorted({lang for lang, at, _ in rows if lang is not None and len(at)})
+    place = {lang: i for i, lang in enumerate(langs)} | {None: len(langs)}
+    rows = [(place[lang], at, c / c.sum()) for lang, at, c in rows if len(at)]
     rng = np.random.default_rng(seed)
     rng.shuffle(rows)
     held = rows[: len(rows) // 5]
     fit = rows[len(held) :]
     table = rng.normal(0, 0.1, (BUCKETS, dim))
-    weight, bias = np.zeros((dim, len(langs))), np.zeros(len(langs))
+    weight, bias = np.zeros((dim, len(langs) + 1)), np.zeros(len(langs) + 1)
     weight += rng.normal(0, 0.1, weight.shape)
     steps, step = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
@@ -117,43 +146,60 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs:
             step += 1
     logits = table @ weight
     model = Model(langs, logits, bias, 1.0, 0.0)
-    if held:
+    if held and langs:
         z = np.array([share @ logits[at] + bias for _, at, share in held])
         y = np.array([y for y, _, _ in held])
         losses = [(-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean(), t) for t in np.geomspace(0.25, 8, 26)]
         model.temperature = float(min(losses)[1])
-        # A language is rejected only where the scores of held rows hardly ever lie.
-        model.reject = float(np.quantile(softmax(z / model.temperature).max(axis=1), lost))
+        score = softmax(z / model.temperature)[:, :-1].max(axis=1)
+        model.reject = between(score[y < len(langs)], score[y == len(langs)], lost)
     model.logits = logits.astype(np.float32)
     return model
 
 
+def between(known: np.ndarray, odd: np.ndarray, lost: float) -> float:
+    """The score from which a text is accepted, given scores of texts of known languages and of strange ones."""
+    if not len(known):
+        return 0.0
+    log_odds = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
+    high = np.quantile(log_odds(known), lost)
+    low = np.quantile(log_odds(odd), 0.99) if len(odd) else -np.inf
+    # Half-way; nearer to the strange ones where the known are too few to tell where their lowest scores lie.
+    bound = low + (high - low) * 0.5 * min(1.0, len(known) * lost) if -np.inf < low < high else high
+    return float(1 / (1 + np.exp(-bound)))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, max_langs: int = 256, **training) -> Model:
-    """Train on the rows of docs with a language: about per_lang of each of the max_langs most frequent languages."""
+    """Train on the rows of docs with a language: about per_lang of each, and half as many strange texts made of them."""
     rows = fresh(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang is not null and doc_id is not null")
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    common = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if common.count() > max_langs:
+        raise ValueError(f"more than {max_langs} languages: the table of logits has a column for each; raise max_langs, or clean {lang_col}")
     # A row is chosen by the hash of its id alone: no sort, and no language's rows meet in one task.
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = rows.join(F.broadcast(common), "lang").where(share < per_lang / F.col("n"))
+    chosen = rows.join(F.broadcast(common), "lang").where(share < per_lang / F.col("n")).select("text", "lang", F.xxhash64("doc_id").alias("order"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([c.astype("<i8").tobytes() for _, c in found], pa.binary())],
-                names=["lang", "buckets", "counts"],
-            )
-
-    sample = chosen.select("text", "lang").limit(2 * per_lang * max_langs)
-    got = sample.mapInArrow(each, "lang string, buckets binary, counts binary").collect()
+            for text, lang, order in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = [(lang, *features(text))]
+                if order % 2 and text:
+                    found.append((None, *features(strange(text, np.random.default_rng(order % 2**32)))))
+                for name, at, c in found:
+                    row = [name], [at.astype("<i4").tobytes()], [c.astype("<i8").tobytes()], [order]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["lang", "buckets", "counts", "order"])
+
+    made = chosen.mapInArrow(each, "lang string, buckets binary, counts binary, order long")
+    # The hash keeps the sample near its size; where many rows share one id, the bound holds all the same.
+    got = made.orderBy("order", "lang", "buckets", "counts").limit(3 * per_lang * max(1, common.count())).collect()
     # An order of their own, so that the same rows always give the same model.
-    parts = sorted((r.lang, bytes(r.buckets), bytes(r.counts)) for r in got)
+    parts = sorted(((r.lang, bytes(r.buckets), bytes(r.counts)) for r in got), key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))
     return train([(lang, np.frombuffer(a, "<i4"), np.frombuffer(c, "<i8")) for lang, a, c in parts], **training)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with lang_pred, score and accepted (the score is not rejected). Columns of these names are replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: BUCKETS rows, at most max_langs columns
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: BUCKETS rows, at most max_langs + 1 columns
     kept = df.drop("lang_pred", "score", "accepted")
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
     schema = T.StructType([*kept.schema.fields, *fields])

@@ -60,7 +60,7 @@ def test_unseen_languages_and_junk_are_rejected(spark):
 
 
 def _rates(docs, probability):
-    """Posterior rates of hosts and paths by plain Python."""
+    """Posterior rates of hosts, and (rate, n, good, strength) of paths, by plain Python."""
     paths = defaultdict(lambda: [0, 0.0])
     for host, path, p in zip(*docs, probability):
         paths[host, path][0] += 1
@@ -73,17 +73,21 @@ def _rates(docs, probability):
         between = (spread - len(sites) * unit) / n
         strength = unit / between if len(sites) > 1 and 0 < between < unit else 1e4
         strength = min(1e4, max(1, strength))
-        return {s: min(0.999, max(0.001, (strength * parent[s] + g) / (strength + x))) for s, (x, g) in sites.items()}
+        return {s: (clip((strength * parent[s] + g) / (strength + x)), x, g, strength) for s, (x, g) in sites.items()}
 
     hosts = defaultdict(lambda: [0, 0.0])
     for (h, _), (n, g) in paths.items():
         hosts[h][0] += n
         hosts[h][1] += g
-    top = min(0.999, max(0.001, sum(g for _, g in paths.values()) / sum(n for n, _ in paths.values())))
-    host = level(hosts, dict.fromkeys(hosts, top))
+    top = clip(sum(g for _, g in paths.values()) / sum(n for n, _ in paths.values()))
+    host = {s: x[0] for s, x in level(hosts, dict.fromkeys(hosts, top)).items()}
     return host, level(paths, {k: host[k[0]] for k in paths})
 
 
+def clip(x):
+    return min(0.999, max(0.001, x))
+
+
 def test_quality_against_plain_python(spark):
     sf = "/root/testdata/sf0.01"
     docs = {d.doc_id: d for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -96,13 +100,20 @@ def test_quality_against_plain_python(spark):
     model = quality.train(x[order], y[order])
     evidence = {i: model.evidence(quality.features(d.text)[None])[0] for i, d in docs.items()}
     ids = sorted(docs)
-    host, path = _rates(([docs[i].source for i in ids], [docs[i].source + "/" + docs[i].lang for i in ids]), [1 / (1 + math.exp(-(evidence[i] + model.base))) for i in ids])
+    p = {i: 1 / (1 + math.exp(-(evidence[i] + model.base))) for i in ids}
+    host, path = _rates(([docs[i].source for i in ids], [docs[i].source + "/" + docs[i].lang for i in ids]), [p[i] for i in ids])
+    odds = {}
+    for i, d in docs.items():
+        rate, n, good, strength = path[d.source, d.source + "/" + d.lang]
+        prior = clip((strength * host[d.source] + good - p[i]) / (strength + n - 1))
+        odds[i] = evidence[i] + math.log(prior / (1 - prior))
+    threshold = min(0.0, np.quantile([odds[i] for i, v in labels.items() if v], 0.002))
     for r in got:
         d = docs[r.doc_id]
-        rate = path[d.source, d.source + "/" + d.lang]
         assert r.evidence == pytest.approx(evidence[r.doc_id], abs=1e-6)
-        assert r.host_rate == pytest.approx(host[d.source], abs=1e-6) and r.path_rate == pytest.approx(rate, abs=1e-6)
-        assert r.quality == pytest.approx(1 / (1 + math.exp(-evidence[r.doc_id] - math.log(rate / (1 - rate)))), abs=1e-6)
+        assert r.host_rate == pytest.approx(host[d.source], abs=1e-6) and r.path_rate == pytest.approx(path[d.source, d.source + "/" + d.lang][0], abs=1e-6)
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-odds[r.doc_id])), abs=1e-6)
+        assert r.keep == (odds[r.doc_id] >= threshold) or abs(odds[r.doc_id] - threshold) < 1e-6
     kept = {r.doc_id: r.keep for r in got}
     assert np.mean([kept[i] for i, v in labels.items() if v]) > 0.99
     assert np.mean([kept[i] for i, v in labels.items() if not v]) < 0.2
@@ -115,6 +126,48 @@ def test_quality_edges(spark):
     model = quality.fit(df, none)
     got = quality.score(df, model, "host", "path").collect()
     assert len(got) == len(rows) and all(r.keep and r.evidence == 0 for r in got)
+    # Columns named like internal ones pass through.
+    clash = df.selectExpr("*", "4 as h_", "5 as p_", "6 as id", "7 as row_", "8 as p", "9 as odds", "10 as n", "11 as Keep")
+    got = quality.score(clash, model, "host", "path").collect()
+    assert {(r.host_, r.h_, r.p_, r.id, r.row_, r.p, r.odds, r.n, r.keep) for r in got} == {(2, 4, 5, 6, 7, 8, 9, 10, True)}
     assert quality.score(df.limit(0), model, "host", "path").count() == 0
     labels = spark.createDataFrame([(2, 1), (2, 0), (3, 0), (None, 1), (9, None)], "doc_id long, quality int")
     assert len(quality.score(df, quality.fit(df, labels), "host", "path").collect()) == len(rows)
+
+
+def test_predictions_against_plain_python(spark, sf):
+    """The forward pass once more, by dictionaries of grams."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(langid.training_part(docs))
+    got = {r.doc_id: r for r in queries.op2_langid(spark, sf).collect()}
+    for d in docs.collect()[:60]:
+        words = "".join(c if c.isalpha() else " " for c in (d.text or "").lower()).split()
+        total, n = np.zeros(len(model.langs) + 1), 0
+        for word in words:
+            raw = f" {word} ".encode()
+            for size in range(1, 5):
+                for i in range(len(raw) - size + 1):
+                    gram = raw[i : i + size]
+                    if gram == b" " or b" " in gram[1:-1]:
+                        continue
+                    code = 0
+                    for b in gram:
+                        code = (code * 257 + b + 1) % 2**32
+                    total += model.logits[(code * 2654435761 % 2**32) >> 17]
+                    n += 1
+        # A space stands between two words once, at the end of one and the start of the next.
+        p = langid.softmax((total / n + model.bias) / model.temperature)
+        best = int(p[:-1].argmax())
+        assert got[d.doc_id].lang_pred == model.langs[best] and got[d.doc_id].score == pytest.approx(p[best], abs=1e-5)
+        assert got[d.doc_id].accepted == (got[d.doc_id].score >= model.reject)
+
+
+def test_rejection_lies_between(spark):
+    known, odd = np.full(2000, 0.99), np.full(50, 0.01)
+    assert langid.between(known, odd, 0.001) == pytest.approx(0.5, abs=1e-6)
+    assert langid.between(known[:100], odd, 0.001) < 0.1
+    assert langid.between(np.linspace(0.2, 0.9, 1001), np.full(9, 0.5), 0.001) == pytest.approx(0.2007, abs=1e-3)
+    assert langid.between(odd[:0], odd, 0.001) == 0.0
+    rows = [(i, "a b", f"l{i}") for i in range(5)]
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=4)
