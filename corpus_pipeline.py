@@ -1,7 +1,15 @@
 """From documents to packed sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents, but for
-the last one, which returns pieces with their places. docs may be any table with these columns.
+the last one, which returns pieces with their places. docs may be any table with these columns; others pass through,
+whatever their names, but for outputs of an operator (lang_pred, score, accepted; evidence, host_rate, path_rate,
+quality, keep), which the classifying stages leave out.
+
+Edge cases, by stage: texts are taken whole, however long, and an empty table gives an empty one throughout.
+language ID drops null, empty and letterless texts and, where no row has a language, all; quality takes a null text
+as empty and null sources and languages as sites of their own; near-dedup gives null and empty texts one fingerprint,
+so one of them stays, and of repeated rows one; PII leaves null texts null; packing takes them as empty: one piece of
+the end id. A null doc_id never trains, and is kept or dropped like any other.
 """
 
 from __future__ import annotations
@@ -58,6 +66,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)  # texts have been encoded when it returns
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", setting)
