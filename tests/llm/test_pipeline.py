@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quarry.llm import langid, packing, pii, quality, simhash
 
-from .test_classifiers import _rates
+from .test_classifiers import _rates, clip
 from .test_neardup import _components
 from .test_pii import brute
 
@@ -26,11 +26,17 @@ def _kept(spark, sf):
     rows = sorted((tuple(x[i]), float(labels[docs[i].doc_id] > 0)) for i in at)
     lx, ly = np.array([r for r, _ in rows]), np.array([y for _, y in rows])
     m = quality.train(lx, ly)
-    threshold = min(0.0, np.quantile(m.evidence(lx[ly > 0]) + m.base, 0.002)) - 1.0
     e = m.evidence(x)
-    paths = [f"{d.source}/{d.lang}" for d in docs]
-    _, rate = _rates(([d.source for d in docs], paths), [1 / (1 + math.exp(-(v + m.base))) for v in e])
-    docs = [d for d, v, p in zip(docs, e, paths) if v + math.log(rate[d.source, p] / (1 - rate[d.source, p])) >= threshold]
+    p = [1 / (1 + math.exp(-(v + m.base))) for v in e]
+    paths = [(d.source, f"{d.source}/{d.lang}") for d in docs]
+    host, rate = _rates(([d.source for d in docs], [b for _, b in paths]), p)
+    odds = []
+    for v, own, key in zip(e, p, paths):
+        _, n, good, strength = rate[key]
+        prior = clip((strength * host[key[0]] + good - own) / (strength + n - 1))
+        odds.append(v + math.log(prior / (1 - prior)))
+    threshold = min(0.0, np.quantile([o for o, d in zip(odds, docs) if labels.get(d.doc_id)], 0.002))
+    docs = [d for d, o in zip(docs, odds) if o >= threshold]
     fps = [simhash.fingerprint(d.text) for d in docs]
     links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
     docs = [d for i, (d, c) in enumerate(zip(docs, _components(len(docs), links))) if i == c]
@@ -72,11 +78,16 @@ def test_pipeline(spark, sf):
 
 def test_stages_keep_the_columns_and_survive_empty_and_odd_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "", None, "s", 0), (2, "the same words here", "en", "s", 19), (2, "the same words here", "en", "s", 19)], docs.schema).withColumn("keep", F.lit(1))
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "", None, "s", 0), (2, "the same words here", "en", "s", 19), (2, "the same words here", "en", "s", 19), (3, "a very long text of many words " * 20_000, "en", "s", 1)], docs.schema).withColumn("keep", F.lit(1))
     for table in (docs.limit(0), odd):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, table, sf)
             assert out.columns == table.columns
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, table, sf).collect()
-    assert corpus_pipeline.drop_near_duplicates(spark, odd, sf).count() == 2
+    assert corpus_pipeline.drop_near_duplicates(spark, odd, sf).count() == 3
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7777")
+    corpus_pipeline.run(spark, sf)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7777"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", setting)
