@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents, but for
 the last one, which returns pieces with their places. docs may be any table with these columns; others pass through,
-whatever their names, but for outputs of an operator (lang_pred, score, accepted; evidence, host_rate, path_rate,
-quality, keep), which the classifying stages leave out.
+whatever their names, but for those named like an output of a classifier (lang_pred, score, accepted; evidence,
+host_rate, path_rate, quality, keep), which come out with its values.
 
 Edge cases, by stage: texts are taken whole, however long, and an empty table gives an empty one throughout.
 language ID drops null, empty and letterless texts and, where no row has a language, all; quality takes a null text
