@@ -60,7 +60,14 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    # What a finished write has shuffled isn't read again: its files go at once, not when the driver collects garbage.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(key, setting)
     return spark.read.schema(df.schema).parquet(path)
 
 

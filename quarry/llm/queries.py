@@ -11,6 +11,9 @@ from . import bpe, embeddedup, langid, lm, packing, pii, quality, simhash, token
 from .common import crc_bucket, shared_dir
 
 
+LM_ORDER = 2
+
+
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -67,7 +70,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_lm(spark, sf_dir):
-    return lm.score(_read(spark, sf_dir, "documents"))
+    return lm.score(_read(spark, sf_dir, "documents"), order=LM_ORDER)
 
 
 def op9_topk(spark, sf_dir):

@@ -3,81 +3,85 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quarry.llm import lm
 
 
-def brute(docs, vocabulary):
-    """Katz backoff with dictionaries: {row number: (n_tokens, n_known, N, base, score)} and the model's distributions."""
+def brute(docs, order):
+    """Katz backoff with dictionaries: [(n_tokens, n_known, N, base, score)] by document, and each distribution's sum."""
     tokens = [[w.encode() for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()] + ["end"] for _, t in docs]
     train = [x for (i, _), x in zip(docs, tokens) if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
     count = Counter(w for x in train for w in x)
     n, v = sum(count.values()), len(count)
-    words = {w: c for w, c in count.items() if w != "end"}
-    head = [w for w, c in words.items() if sum(x >= c for x in words.values()) <= vocabulary]
-    kind = {w: w for w in head} | {"end": "end"}
-    classes = ["rare", "end", *head]
-    of = Counter({c: 0 for c in classes})
-    for w, c in count.items():
-        of[kind.get(w, "rare")] += c
-    uni = {c: (of[c] + 0.1) / (n + 0.1 * len(classes)) for c in classes}
-    pairs = Counter()
-    for x in train:
-        k = ["start", *(kind.get(w, "rare") for w in x)]
-        pairs.update(zip(k, k[1:]))
-    seen = Counter(pairs.values())
-    d = {}
-    common = 6 * seen[6] / seen[1] if seen[1] else math.inf
-    for r in range(1, 6):
-        d[r] = ((r + 1) * seen[r + 1] / (r * seen[r]) - common) / (1 - common) if seen[r] and seen[1] and common != 1 else -1
-        if not 0 < d[r] < 1:
-            d[r] = (r - 0.5) / r
-    after = defaultdict(dict)
-    for (a, b), c in pairs.items():
-        after[a][b] = c
-    prob = {}
-    for a in ["start", *classes]:
-        own = after.get(a)
-        if not own:
-            prob[a] = uni
-            continue
-        total = sum(own.values())
-        kept = {b: d.get(c, 1) * c for b, c in own.items()}
-        unseen = 1 - sum(uni[b] for b in own)
-        left = 1 - sum(kept.values()) / total
-        least = 1 / (total + 1) if unseen > 1e-12 else 0
-        if unseen <= 1e-12 or left < least:
-            left = least
+
+    def discounts(counts):
+        seen = Counter(counts)
+        common = 6 * seen[6] / seen[1] if seen[1] else math.inf
+        d = {}
+        for r in range(1, 6):
+            d[r] = ((r + 1) * seen[r + 1] / (r * seen[r]) - common) / (1 - common) if seen[r] and seen[1] and common != 1 else -1
+            if not 0 < d[r] < 1:
+                d[r] = (r - 0.5) / r
+        return d
+
+    def level(counts, d, lower):
+        """Probabilities after one context: {word: P}, None for all others as a factor of lower."""
+        total = sum(counts.values())
+        kept = {w: d.get(c, 1) * c for w, c in counts.items()}
+        left = max(1 - sum(kept.values()) / total, 1 / (total + 1))
         scale = (1 - left) / sum(kept.values())
-        prob[a] = {b: kept[b] * scale if b in own else left / unseen * uni[b] for b in classes if b in own or unseen > 1e-12}
-    rare_types = sum(w not in kind for w in count)
+        return {w: k * scale for w, k in kept.items()}, left / (1 - sum(lower(w) for w in counts))
+
+    if n:
+        d = discounts(count.values())
+        kept = {w: d.get(c, 1) * c for w, c in count.items()}
+        left = max(1 - sum(kept.values()) / n, 1 / (n + 1))
+        uni = {w: k * (1 - left) / sum(kept.values()) for w, k in kept.items()}
+    else:
+        uni, left = {}, 1.0
+    models = {1: {(): (uni, left)}}
+
+    def p(word, context):
+        k = len(context) + 1
+        own = models[k].get(context)
+        if k == 1:
+            return own[0].get(word, own[1])
+        if own is None:
+            return p(word, context[1:])
+        return own[0][word] if word in own[0] else own[1] * p(word, context[1:])
+
+    for k in range(2, order + 1):
+        after = defaultdict(Counter)
+        for x in train:
+            x = ["start", *x]
+            for i in range(k - 1, len(x)):
+                after[tuple(x[i - k + 1 : i])][x[i]] += 1
+        d = discounts([c for own in after.values() for c in own.values()])
+        models[k] = {context: level(own, d, lambda w, context=context: p(w, context[1:])) for context, own in after.items()}
+    sums = [sum(p(w, context) for w in [*count, "never seen"]) for k in models for context in models[k]]
     out = []
     for x in tokens:
-        k = ["start", *(kind.get(w, "rare") for w in x)]
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)
-        score = sum(math.log10(prob[a][b]) for a, b in zip(k, k[1:]))
-        score += sum(math.log10((count[w] + 0.1) / (of["rare"] + 0.1 * (rare_types + 1))) for w in x if w not in kind)
+        y = ["start", *x]
+        score = sum(math.log10(p(y[i], tuple(y[max(0, i - order + 1) : i]))) for i in range(1, len(y))) if order > 1 else sum(math.log10(p(w, ())) for w in x)
         out.append((len(x), sum(count[w] > 0 for w in x), n, base, score))
-    return out, prob
+    return out, sums
 
 
 def corpus():
     rng = random.Random(3)
     names = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(rng.choice(names[: rng.choice([3, 20, 60])]) for _ in range(rng.randint(0, 40)))) for i in range(150)]
-    return [*docs, (None, None), (7, ""), (7, "THE The the\x0bé É"), (30, "new words only"), (30, "new words only")]
-
-
-@pytest.mark.parametrize("vocabulary", [2, 7, 65_533])
-def test_against_brute_force(spark, monkeypatch, vocabulary):
-    monkeypatch.setattr(lm, "CHUNK_TOKENS", 300)
-    monkeypatch.setattr(lm, "BUCKET_TOKENS", 200)
-    docs = corpus()
-    want, prob = brute(docs, vocabulary)
-    assert all(abs(sum(p.values()) - 1) < 1e-9 for p in prob.values())
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as uid", "2 as n", "3 as score")
-    got = lm.score(df, vocabulary=vocabulary).collect()
+    return [*docs, (None, None), (7, ""), (7, "THE The the\x0bé É"), (30, "new words only"), (30, "new words only"), (8, "w1 w2 w0 " * 150)]
+
+
+def check(spark, docs, order):
+    want, total = brute(docs, order)
+    assert all(abs(s - 1) < 1e-9 for s in total)
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as uid", "2 as n", "3 as score", "4 as chunk")
+    got = lm.score(df, order=order).collect()
     key = lambda r: (r[0] if r[0] is not None else -1, *(round(x, 5) for x in r[1:]))
     have = sorted(key((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in got)
     assert len(have) == len(want)
@@ -85,19 +89,37 @@ def test_against_brute_force(spark, monkeypatch, vocabulary):
         assert a == pytest.approx(b, abs=3e-5)
 
 
+# Whole; in small chunks, so that texts are cut, and many buckets; with all frequent contexts dealt over buckets.
+@pytest.mark.parametrize(("order", "chunk", "bucket", "hot"), [(1, 300, 50, 20), (2, 1 << 21, 1 << 21, 1 << 23), (2, 300, 200, 20), (3, 300, 100, 1 << 23), (3, 70, 300, 5), (4, 200, 400, 3)])
+def test_against_brute_force(spark, monkeypatch, order, chunk, bucket, hot):
+    for name, value in (("CHUNK", chunk), ("BUCKET", bucket), ("HOT", hot)):
+        monkeypatch.setattr(lm, name, value)
+    check(spark, corpus(), order)
+
+
 def test_without_training_rows(spark):
     df = spark.createDataFrame([(i, t) for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0 for t in ["a b", None]], "doc_id long, text string")
-    for r in lm.score(df).collect():
-        assert (r.n_known, r.train_tokens) == (0, 0) and r.base_score == pytest.approx(0.0, abs=1e-9)
+    for r in lm.score(df, order=3).collect():
+        assert (r.n_known, r.train_tokens, r.score) == (0, 0, 0.0) and r.base_score == pytest.approx(0.0, abs=1e-9)
     assert lm.score(df.limit(0)).count() == 0
 
 
-def test_blocks_round_trip():
-    import numpy as np
+def test_query(spark, sf):
+    from quarry.llm import queries
 
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {i: w for (i, _), w in zip(docs, brute(docs, queries.LM_ORDER)[0])}
+    got = queries.op8_lm(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == pytest.approx(want[r.doc_id], rel=1e-6, abs=1e-4)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+
+
+def test_blocks_round_trip():
     rng = np.random.default_rng(1)
-    keys, docs = np.sort(rng.integers(0, 2**32, 500, dtype=np.uint32)), rng.integers(0, 2**20, 500).astype(np.uint32)
-    a, b = lm._unpack(lm._pack(keys, docs))
-    assert (a == keys).all() and (b == docs).all()
-    a, b = lm._unpack(lm._pack(keys[:0], docs[:0]))
-    assert len(a) == len(b) == 0
+    arrays = [np.sort(rng.integers(0, 2**62, 500)), rng.integers(0, 3, 400), np.empty(0, np.int64), np.zeros(9, np.int64)]
+    for a, b in zip(arrays, lm.unpack(lm.pack(*arrays)), strict=True):
+        assert (a == b).all() and len(a) == len(b)
+    for x in arrays:
+        assert (lm.unpack_few(*lm.unpack(lm.pack(*lm.pack_few(x)))) == x).all()
