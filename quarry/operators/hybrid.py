@@ -81,17 +81,22 @@ def search(
     """The best chunk of each of at most `limit` items, with all its columns and score.
 
     Both lists hold 5 * limit chunks that pass the filters. A reranker scores the fused chunks and keeps `limit` of them
-    before items are made distinct, so that fewer items may come out. compat_threshold drops reranked scores of -1 or less.
+    before items are made distinct, so that fewer items may come out. compat_threshold drops reranked scores of -1 or
+    less; where that leaves nothing, the fused hits come out as they would without a reranker.
     """
     k = OVERFETCH * limit
     words = lexical.search(chunks, query, k, filters, found, stats, stemming)
     dense = vector.search(chunks, query_vector, k, filters)
     fused = lexical.top(fuse(words, dense), k)
-    hits = chunks.join(F.broadcast(fused), "chunk_id")  # at most 5 * limit rows
+    # At most 5 * limit rows: their ids go to the scan as literals, which skip what an index sorted by chunk_id keeps apart.
+    found_ids = [(r.chunk_id, r.score) for r in fused.collect()]
+    scores = chunks.sparkSession.createDataFrame(found_ids, "chunk_id string, score double")
+    hits = chunks.where(F.col("chunk_id").isin(*[i for i, _ in found_ids])).join(F.broadcast(scores), "chunk_id")
     if reranker is not None:
         rescored = lexical.top(hits.withColumn("score", reranker(query)(F.col("text")).cast("double")), limit)
         kept = rescored.where(F.col("score") > -1) if compat_threshold else rescored
-        return lexical.top(best_per_item(kept), limit)
+        if not compat_threshold or not kept.isEmpty():
+            return lexical.top(best_per_item(kept), limit)
     return lexical.top(best_per_item(hits), limit)
 
 

@@ -117,10 +117,40 @@ class QueryError(ValueError):
 
 @dataclass
 class Term:
+    """A leaf: one term, or several in a row; or, with a fixed score, a range or set of terms, a beginning, or every chunk."""
+
     terms: list[str]
     fields: list[str]
     boost: float = 1.0
     phrase: bool = False
+    slop: int = 0  # other words that may stand between the terms of a phrase, in all
+    prefix: bool = False  # the last term is a beginning
+    kind: str = "terms"  # or "range", "set", "all"
+    low: tuple[str, bool] | None = None  # bound, and whether it belongs to the range
+    high: tuple[str, bool] | None = None
+
+    def scored(self) -> list[str]:
+        """Terms whose document frequencies count."""
+        return [] if self.kind != "terms" else self.terms[:-1] if self.prefix else self.terms
+
+    def fixed(self) -> bool:
+        return self.kind != "terms" or not self.scored()
+
+    def matches(self) -> Column:
+        """Which postings speak for the leaf."""
+        t, inside = F.col("term"), F.col("field").isin(*self.fields)
+        if self.kind == "all":
+            return F.lit(True)
+        if self.kind == "set":
+            return inside & t.isin(*self.terms)
+        if self.kind == "range":
+            for bound, below in ((self.low, True), (self.high, False)):
+                if bound is not None:
+                    value, closed = bound
+                    inside = inside & ((t >= value if closed else t > value) if below else (t <= value if closed else t < value))
+            return inside
+        own = t.isin(*self.scored()) if self.scored() else F.lit(False)
+        return inside & (own | t.startswith(self.terms[-1]) if self.prefix else own)
 
 
 @dataclass
@@ -131,16 +161,35 @@ class Bool:
     boost: float = 1.0
 
 
-_TOKEN = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|(?P<sign>[+-])(?=[^\s])|(?P<phrase>(?:(?P<pfield>\w+):)?"(?P<quoted>(?:[^"\\]|\\.)*)")|(?P<field>\w+):\(|(?P<word>[^\s()"]+))(?:\^(?P<boost>\d+(?:\.\d+)?))?')
+_TOKEN = re.compile(
+    r"""\s*(?:(?P<open>\()|(?P<close>\))|(?P<sign>[+-])(?=[^\s])
+    |(?:(?P<rfield>\w+):\s*)?(?P<left>[\[{])\s*(?P<low>[^\s\[{]+)\s+TO\s+(?P<high>[^\s\]}]+)\s*(?P<right>[\]}])
+    |(?P<cfield>\w+):(?P<compare>[<>]=?)(?P<bound>[^\s()"]+)
+    |(?:(?P<sfield>\w+):\s*)?IN\s+\[(?P<members>[^\]]*)\]
+    |(?P<phrase>(?:(?P<pfield>\w+):)?"(?P<quoted>(?:[^"\\]|\\.)*)"(?:~(?P<slop>\d+)|(?P<prefix>\*))?)
+    |(?P<field>\w+):\(|(?P<all>\*)(?=[\s)^]|$)
+    |(?P<word>(?:[^\s()"\\]|\\.)+))(?:\^(?P<boost>\d+(?:\.\d+)?))?""",
+    re.VERBOSE,
+)
 
 
 def parse(query: str, fields: list[str] = FIELDS, stemming: bool = False) -> Bool:
-    """Words (any of them), "phrases", field:word, +must, -not, AND, OR, NOT, parentheses and ^boost."""
+    """The query's tree.
+
+    Words (any of them), "phrases", "phrases"~2 with up to two other words between, "begin"*, field:word, field:(..),
+    [a TO c] and {a TO c} or field:>=a for terms in a range (* for an open end), IN [a b] for any of some, * for all,
+    +must, -not, AND, OR, NOT, parentheses and ^boost. A backslash takes a sign's meaning away.
+    """
     at = 0
 
-    def leaf(text: str, own: list[str], phrase: bool, boost: float) -> Term | None:
-        terms = terms_of(text, stemming)
-        return Term(terms, own, boost, phrase or len(terms) > 1) if terms else None
+    def known(name: str | None) -> list[str]:
+        if name and name not in fields:
+            raise QueryError(f"no field {name}")
+        return [name] if name else fields
+
+    def leaf(text: str, own: list[str], phrase: bool, boost: float, slop: int = 0, prefix: bool = False) -> Term | None:
+        terms = terms_of(text, stemming and not prefix)
+        return Term(terms, own, boost, phrase or len(terms) > 1, slop, prefix) if terms else None
 
     def group(depth: int) -> Bool:
         nonlocal at
@@ -176,25 +225,29 @@ def parse(query: str, fields: list[str] = FIELDS, stemming: bool = False) -> Boo
             if m["open"]:
                 node = group(depth + 1)
             elif m["field"]:
-                if m["field"] not in fields:
-                    raise QueryError(f"no field {m['field']}")
+                own = known(m["field"])
                 node = group(depth + 1)
-                _refield(node, [m["field"]])
+                _refield(node, own)
+            elif m["left"]:
+                ends = [None if v == "*" else (v.lower(), closed) for v, closed in ((m["low"], m["left"] == "["), (m["high"], m["right"] == "]"))]
+                node = Term([], known(m["rfield"]), boost, kind="range", low=ends[0], high=ends[1])
+            elif m["compare"]:
+                bound = (m["bound"].lower(), "=" in m["compare"])
+                node = Term([], known(m["cfield"]), boost, kind="range", **{"low" if m["compare"][0] == ">" else "high": bound})
+            elif m["members"] is not None:
+                node = Term([t for w in m["members"].split() for t in terms_of(w, stemming)], known(m["sfield"]), boost, kind="set")
+            elif m["all"]:
+                node = Term([], fields, boost, kind="all")
             elif m["phrase"]:
-                own = [m["pfield"]] if m["pfield"] else fields
-                if m["pfield"] and m["pfield"] not in fields:
-                    raise QueryError(f"no field {m['pfield']}")
-                node = leaf(m["quoted"], own, True, boost)
+                node = leaf(re.sub(r"\\(.)", r"\1", m["quoted"]), known(m["pfield"]), True, boost, int(m["slop"] or 0), bool(m["prefix"]))
             else:
-                word, own = re.sub(r"\^\d+(?:\.\d+)?$", "", m["word"]), fields
-                power = re.search(r"\^(\d+(?:\.\d+)?)$", m["word"])
+                word, own = re.sub(r"(?<!\\)\^\d+(?:\.\d+)?$", "", m["word"]), fields
+                power = re.search(r"(?<!\\)\^(\d+(?:\.\d+)?)$", m["word"])
                 boost = float(power[1]) if power else boost
                 if re.match(r"\w+:.", word):
                     name, _, word = word.partition(":")
-                    if name not in fields:
-                        raise QueryError(f"no field {name}")
-                    own = [name]
-                node = leaf(word, own, False, boost)
+                    own = known(name)
+                node = leaf(re.sub(r"\\(.)", r"\1", word), own, False, boost)
             if node is not None:
                 out.clauses.append((sign or joined or "should", node))
             sign = joined = None
@@ -219,54 +272,90 @@ def _leaves(node):
             yield from _leaves(n)
 
 
-def _phrase(found: DataFrame, stats: DataFrame, leaf: Term) -> DataFrame:
-    """(chunk_id, score): how often the terms stand in a row, scored with the sum of their idf."""
-    some = found.where(F.col("term").isin(*set(leaf.terms)) & F.col("field").isin(*leaf.fields))
-    df = document_frequency(some)
-    place = F.map_from_arrays(F.collect_list("term"), F.collect_list("positions"))
-    by = some.groupBy("field", "chunk_id").agg(place.alias("at"), F.first("len").alias("len"), F.count("*").alias("k")).where(F.col("k") == len(set(leaf.terms)))
-    first = F.col("at")[leaf.terms[0]]
-    follow = first
-    for offset, term in enumerate(leaf.terms[1:], 1):
-        here = F.transform(F.col("at")[term], _minus(offset))
-        follow = F.filter(follow, _inside(here))
-    tf = by.withColumn("tf", F.size(follow)).where("tf > 0")
-    weight = df.join(F.broadcast(stats), "field").groupBy("field").agg(F.sum(idf(F.col("n"), F.col("df"))).alias("idf"), F.first("avg_len").alias("avg_len"))
-    scored = tf.join(F.broadcast(weight), "field")
-    return scored.select("chunk_id", (leaf.boost * bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))).alias("score"))
+def _phrase(leaf: Term, entries: Column) -> Column:
+    """The score of a phrase from its postings in a chunk: how often the terms stand in a row, by the sum of their idf."""
+    found = F.filter(F.array(*[_phrase_in(leaf, F.filter(entries, _has("field", name))) for name in leaf.fields]), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, x: a + x))
 
 
-def _minus(offset):
-    return lambda p: p - offset
+def _phrase_in(leaf: Term, own: Column) -> Column:
+    lists = []
+    for i, term in enumerate(leaf.terms):
+        beginning = leaf.prefix and i == len(leaf.terms) - 1
+        mine = F.filter(own, (lambda t: lambda x: x["term"].startswith(t))(term) if beginning else _has("term", term))
+        lists.append(F.flatten(F.transform(mine, lambda x: x["positions"])))
 
+    def count(at: Column) -> Column:
+        # Where a row may begin, how far it has come, and how many other words it has passed.
+        rows = F.transform(at[0], lambda p: F.struct(p.alias("begin"), p.alias("at"), F.lit(0).alias("used")))
+        for i in range(1, len(leaf.terms)):
+            rows = F.flatten(F.transform(rows, _step(at[i], leaf.slop)))
+        return F.size(F.array_distinct(F.transform(rows, lambda r: r["begin"])))
 
-def _inside(positions):
-    return lambda p: F.array_contains(positions, p)
+    scored = F.filter(own, lambda x: x["idf"].isNotNull())
+    weight = F.aggregate(scored, F.lit(0.0), lambda a, x: a + x["idf"])  # a posting for each term
+    value = lambda tf: F.when(tf > 0, leaf.boost * bm25(weight, tf, own[0]["len"], own[0]["avg_len"]))
+    return F.transform(F.transform(F.array(F.array(*lists)), count), value)[0]
 
 
-def evaluate(node, found: DataFrame, stats: DataFrame) -> DataFrame:
-    """(chunk_id, score) of a query tree: sums over clauses that match, all 'must' present and no 'not'."""
-    if isinstance(node, Term):
-        if node.phrase and len(node.terms) > 1:
-            parts = _phrase(found, stats, node)
+def _has(name: str, value: str):
+    return lambda x: x[name] == value
+
+
+def _step(positions: Column, slop: int):
+    def one(row: Column) -> Column:
+        passed = lambda p: p - row["at"] - 1 + row["used"]
+        following = F.filter(positions, lambda p: (p > row["at"]) & (passed(p) <= slop))
+        return F.transform(following, lambda p: F.struct(row["begin"].alias("begin"), p.alias("at"), passed(p).alias("used")))
+
+    return one
+
+
+def evaluate(tree, found: DataFrame, stats: DataFrame) -> DataFrame:
+    """(chunk_id, score) of a query tree: sums over clauses that match, all 'must' present and no 'not'.
+
+    The postings of all the query's terms are read together and grouped by chunk once, whatever the number of clauses; a
+    first pass over the same postings counts the document frequencies.
+    """
+    leaves = list(_leaves(tree))
+    wanted = leaves[0].matches()
+    for leaf in leaves[1:]:
+        wanted = wanted | leaf.matches()
+    some = found.where(wanted)
+    exact = sorted({t for leaf in leaves for t in leaf.scored()})
+    df = document_frequency(some.where(F.col("term").isin(*exact)) if exact else some.limit(0))
+    rows = some.join(F.broadcast(stats), "field").join(F.broadcast(df), ["field", "term"], "left")  # df: a row for each term and field
+    rows = rows.withColumn("idf", idf(F.col("n"), F.col("df")))
+    weight = bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))
+    sums = []
+    for i, leaf in enumerate(leaves):
+        if leaf.fixed():
+            part = F.max(F.when(leaf.matches(), F.lit(leaf.boost)))
+        elif len(leaf.terms) > 1:
+            part = F.collect_list(F.when(leaf.matches(), F.struct("field", "term", "positions", "len", "avg_len", F.when(F.col("term").isin(*leaf.scored()), F.col("idf")).alias("idf"))))
         else:
-            parts = term_scores(found, stats, node.terms, node.fields).select("chunk_id", (F.col("score") * node.boost).alias("score"))
-        return parts.groupBy("chunk_id").agg(F.sum("score").alias("score"))
-    parts, must, excluded = None, 0, None
-    for how, child in node.clauses:
-        rows = evaluate(child, found, stats)
-        if how == "not":
-            excluded = rows.select("chunk_id") if excluded is None else excluded.union(rows.select("chunk_id"))
-            continue
-        rows = rows.select("chunk_id", "score", F.lit(int(how == "must")).alias("must"))
-        must += how == "must"
-        parts = rows if parts is None else parts.unionByName(rows)
-    if parts is None:
-        return found.sparkSession.createDataFrame([], "chunk_id string, score double")
-    out = parts.groupBy("chunk_id").agg(F.sum("score").alias("score"), F.sum("must").alias("must")).where(F.col("must") == must)
-    if excluded is not None:
-        out = out.join(excluded.distinct(), "chunk_id", "left_anti")
-    return out.select("chunk_id", (F.col("score") * node.boost).alias("score"))
+            part = F.sum(F.when(leaf.matches(), leaf.boost * weight))
+        sums.append(part.alias(f"leaf{i}"))
+    by = rows.groupBy("chunk_id").agg(*sums)
+    values = iter([_phrase(leaf, F.col(f"leaf{i}")) if not leaf.fixed() and len(leaf.terms) > 1 else F.col(f"leaf{i}") for i, leaf in enumerate(leaves)])
+
+    def value(node) -> Column:
+        """The score of a node, null where it doesn't match."""
+        if isinstance(node, Term):
+            return next(values)
+        parts = [(how, value(child)) for how, child in node.clauses]
+        good, total, any_of = F.lit(True), F.lit(0.0), F.lit(False)
+        for how, v in parts:
+            if how == "not":
+                good = good & v.isNull()
+                continue
+            total = total + F.coalesce(v, F.lit(0.0))
+            any_of = any_of | v.isNotNull()
+            if how == "must":
+                good = good & v.isNotNull()
+        return F.when(good & any_of, total * node.boost)
+
+    return by.select("chunk_id", value(tree).alias("score")).where("score is not null")
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score") -> DataFrame:

@@ -62,12 +62,13 @@ diff AS (SELECT item_key, 'add' AS action FROM remote WHERE NOT EXISTS (SELECT 1
   UNION ALL SELECT item_key, 'delete' FROM local WHERE item_key NOT IN (SELECT item_key FROM remote)),
 status AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS item_key, CASE WHEN doc_id % 10 = 0 THEN 'no-attachment' WHEN quality = 1 AND toxic = 0 THEN 'ok' WHEN quality = 1 THEN 'partial'
   WHEN toxic = 1 THEN 'suspicious' ELSE 'failed' END AS status, 'detail ' || doc_id AS detail, CASE WHEN doc_id % 20 = 0 THEN 2 ELSE 0 END AS status_version FROM labels),
-metas AS (SELECT item_key, title, CASE WHEN length(fulltext) >= 500 THEN fulltext ELSE '' END AS fulltext FROM items WHERE doc_id % 2 = 0)"""
+metas AS (SELECT item_key, title, CASE WHEN length(fulltext) >= 500 THEN fulltext ELSE '' END AS fulltext FROM items WHERE doc_id % 2 = 0),
+every AS (SELECT item_key, title, CASE WHEN length(fulltext) >= 500 THEN fulltext ELSE '' END AS fulltext FROM items)"""
 _STALE = "SELECT item_key FROM status WHERE status = 'no-attachment' AND status_version < 2"
 _UNTRACKED = "SELECT item_key FROM metas WHERE fulltext = '' AND item_key NOT IN (SELECT item_key FROM status)"
 _UNCHUNKED = "SELECT item_key FROM local WHERE item_key NOT IN (SELECT item_key FROM metas)"
 
-_PEOPLE = """WITH people AS (SELECT c_custkey % 50 AS item, 'author' AS role, c_name AS name FROM customer WHERE c_custkey % 3 = 0
+_PEOPLE = """WITH people AS (SELECT c_custkey % 50 AS item, 'author' AS role, c_name AS name FROM customer
   UNION ALL SELECT s_suppkey % 50, 'editor', CASE WHEN s_suppkey % 20 = 0 THEN '' WHEN s_suppkey % 4 = 0 THEN 'Ltd ' || s_nationkey WHEN s_suppkey % 5 = 0 THEN s_name
     ELSE 'Ltd ' || s_nationkey || ', ' || s_name END FROM supplier)"""
 _LIBRARY = """WITH lib AS (SELECT conv_id || '-' || turn AS item_key, CASE WHEN turn % 3 = 0 THEN '' ELSE CAST(conv_id AS VARCHAR) END AS parent, turn AS place,
@@ -127,7 +128,7 @@ ORACLES = {
     "cosine_top": f"SELECT v.vec_id, round({_COSINE}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 0) w ORDER BY {_COSINE} DESC, 1 LIMIT 20",
     "cosine_filtered": f"SELECT v.vec_id, round({_COSINE}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 0) w WHERE v.label = 3 ORDER BY {_COSINE} DESC, 1 LIMIT 10",
     "cosine_many": f"""SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT w.vec_id AS query_id, v.vec_id, {_COSINE} AS s, row_number() OVER (PARTITION BY w.vec_id ORDER BY {_COSINE} DESC, v.vec_id) AS n
-      FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 20) w) WHERE n <= 5""",
+      FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) w) WHERE n <= 5""",
     "rrf_fusion": f"{_lists()} SELECT chunk_id, score FROM fused",
     "hybrid_search": f"{_lists()} {_items_of('fused')}",
     "hybrid_filtered": _lists("item_type = 'en' AND source = 'src3'") + " " + _items_of("fused"),
@@ -149,7 +150,7 @@ ORACLES = {
     "status_breakdown": f"""{_REMOTE} SELECT status, count(*) AS count FROM status GROUP BY 1 UNION ALL
       SELECT 'unknown', n FROM (SELECT (SELECT count(*) FROM items) - (SELECT count(*) FROM status) AS n) WHERE n > 0""",
     "issues_list": f"{_REMOTE} SELECT s.item_key AS key, coalesce(m.title, '') AS title, status, detail FROM status s LEFT JOIN metas m USING (item_key) WHERE status <> 'ok'",
-    "items_without_fulltext": f"{_REMOTE} SELECT item_key, title FROM metas WHERE fulltext = ''",
+    "items_without_fulltext": f"{_REMOTE} SELECT item_key, title FROM every WHERE fulltext = ''",
     "index_counts": f"""WITH {CHUNKS} SELECT (SELECT count(*) FROM items) AS item_count, (SELECT count(*) FROM items) + (SELECT count(*) FROM chunks) AS chunk_count,
       CAST((SELECT sum(length(text)) FROM chunks) + (SELECT sum(length(title || chr(10) || creators || chr(10) || array_to_string(tags, ', '))) FROM items) AS BIGINT) AS chars""",
     "tags_list": f"WITH {DOCS} SELECT tag, count(DISTINCT item_key) AS num_items FROM (SELECT item_key, unnest(tags) AS tag FROM items) GROUP BY 1",

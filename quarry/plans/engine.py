@@ -34,10 +34,10 @@ class Engine:
                 raise LookupError
             counts = {r.action: r.n for r in sync.diff(versions(self.items), self.store.table("versions")).groupBy("action").agg(F.count("*").alias("n")).collect()}
         except Exception:  # noqa: BLE001  a search must go on whatever the library does
-            return "Note: library not reachable -- cannot verify the index is up to date."
+            return "Note: the library can't be read, so what the index lacks is unknown."
         if not counts:
             return None
-        return f"Note: index may be out of date -- {counts.get('add', 0)} new/updated, {counts.get('delete', 0)} removed since last sync. Run build_index to update."
+        return f"Note: the index is behind the library: {counts.get('add', 0)} items to add or renew, {counts.get('delete', 0)} to remove. build_index brings it up to date."
 
     def find(self, query: str = "", **options) -> DataFrame:
         return catalog.find(self.items, query, **options)

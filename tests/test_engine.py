@@ -72,7 +72,7 @@ def test_index_run_search_and_catalogue(spark, lib):
     assert [r.key for r in engine.search("note", filters=SearchFilters(item_type="note")).collect()] == ["NOTE"]
     assert engine.search("documents", filters=SearchFilters(tag="x, y")).first().key == "AAA"
     assert engine.search("vectors", limit=2, reranker=overlap_reranker).first().score == 1.0
-    assert engine.sync_note() is None and Engine(engine.store, engine.embedder).sync_note().startswith("Note: library not reachable")
+    assert engine.sync_note() is None and Engine(engine.store, engine.embedder).sync_note().startswith("Note: the library can't be read")
     assert [r.author for r in engine.authors().collect()] == ["Lee, Ann", "The Club"]
     assert [(r.tag, r.num_items) for r in engine.tags("X").collect()] == [("x, y", 1)]
     assert [r.key for r in engine.find("fox lee").collect()] == ["AAA"] and engine.find("kept").count() == 0 and engine.find("kept", everything=True).count() == 1

@@ -74,6 +74,13 @@ def test_bm25_and_grammar(spark):
     for bad in ("", "(red", "red)", "AND red", "nofield:x", '"'):
         with pytest.raises(lexical.QueryError):
             lexical.parse(bad)
+    # Ranges and sets have a fixed score; slop, beginnings, escapes and * widen what matches.
+    assert scores("title:[fence TO fox]^2") == {"a_0": 2.0, "a_1": 2.0, "c_0": 2.0} and set(scores("title:{fence TO fox]")) == {"a_0", "a_1"}
+    assert set(scores("title:>=paint")) == {"b_0"} == set(scores("title:{fox TO *}")) and set(scores("title:<fox")) == {"c_0"}
+    assert scores("title: IN [paint fence zzz]") == {"b_0": 1.0, "c_0": 1.0} and set(scores("*")) == {"a_0", "a_1", "b_0", "c_0"} and set(scores("* -red")) == {"a_1", "c_0"}
+    assert not scores('"red jumps"') and set(scores('"red jumps"~1')) == {"a_0"} and set(scores('"fox red"~2')) == {"a_0"} and not scores('"fox red"~1')
+    assert set(scores('"red fo"*')) == {"a_0"} and scores('"pai"*') == {"b_0": 1.0} and set(scores("red\\-fence")) == {"a_0"}
+    assert scores('text:"red fox" fox')["a_0"] == pytest.approx(scores('text:"red fox"')["a_0"] + scores("fox")["a_0"])
     stemmed = lexical.search(chunks, "jumping", 5)
     assert [r.chunk_id for r in stemmed.collect()] == ["a_0"]
     only = lexical.search(chunks, "red", 5, SearchFilters(tag="y"))
@@ -118,3 +125,54 @@ def test_tags_and_predicates(spark):
     assert [r.tag for r in catalog.tags(df, "a").collect()] == ["A", "a"]
     kinds = spark.createDataFrame([("book", "", ""), ("note", "", ""), ("note", "P", ""), ("attachment", "", "text/html"), ("annotation", "", "")], "item_type string, parent_item string, content_type string")
     assert [r.x for r in kinds.select(items.is_indexable().alias("x")).collect()] == [True, True, False, True, False]
+
+
+def test_search_many_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)] + [(90, None), (91, [1.0, 2.0]), (92, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = {}
+    for q, a in rows:
+        if a is None or q % 3:
+            continue
+        found = []
+        for i, b in rows:
+            if b is not None and len(b) == len(a):
+                n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+                found.append((-round(sum(x * y for x, y in zip(a, b)) / n, 9) if n else 0.0, i))
+        for rank, (s, i) in enumerate(sorted(found)[:4], 1):
+            want[q, rank] = (i, -s)
+    for tile, shard in ((2048, 32768), (7, 11)):
+        monkeypatch.setattr(vector, "TILE", tile)
+        monkeypatch.setattr(vector, "SHARD", shard)
+        got = vector.search_many(df, df.where("id % 3 = 0").select(F.col("id").alias("q"), "v"), 4, "id", "q", "v").collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert r.score == pytest.approx(want[r.q, r["rank"]][1], abs=1e-8)
+
+
+def test_stemmed_search_over_all_chunks(spark, sf):
+    """Brute force over the chunks of the documents."""
+    from collections import Counter
+
+    import regex
+
+    from quarry import core_queries
+    from quarry.functions.stem import stem
+
+    chunks = core_queries._full_chunks(spark, sf).collect()
+    terms = {f: [[stem(w) for w in regex.findall(r"[\p{L}\p{N}]+", (c[f] or "").lower()) if len(w.encode()) < 40] for c in chunks] for f in lexical.FIELDS}
+    want = {}
+    for f, term, boost in [*((f, t, 1) for f in lexical.FIELDS for t in ("document", "the")), ("title", "document", 2)]:
+        counts = [Counter(x) for x in terms[f]]
+        df, avg = sum(term in c for c in counts), sum(map(len, terms[f])) / len(chunks)
+        idf = math.log(1 + (len(chunks) - df + 0.5) / (df + 0.5))
+        for c, n in zip(chunks, counts):
+            if n[term]:
+                want[c.chunk_id] = want.get(c.chunk_id, 0.0) + boost * idf * n[term] * 2.2 / (n[term] + 1.2 * (0.25 + 0.75 * n.total() / avg))
+    que = {c.chunk_id for i, c in enumerate(chunks) if any("que" in terms[f][i] for f in lexical.FIELDS)}
+    got = {r.chunk_id: r.score for r in core_queries.bm25_stemmed(spark, sf).collect()}
+    assert got.keys() == want.keys() - que
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in got)
