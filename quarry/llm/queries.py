@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe, embeddedup, langid, lm, packing, pii, quality, simhash, tokenfile, tokens, topk
-from .common import crc_bucket, shared_dir
+from .common import crc_bucket, scratch
 
 
 LM_ORDER = 2
@@ -79,7 +77,7 @@ def op9_topk(spark, sf_dir):
 
 
 def op10_tokenfile(spark, sf_dir):
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}/tokens"
+    path = scratch(spark, "tokens")
     tokenfile.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), tokens.WORD_PATTERN)
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
