@@ -117,7 +117,7 @@ def _reports(spark, sf_dir):
 def pdf_outcome(spark, sf_dir):
     r = _reports(spark, sf_dir)
     body = F.repeat(F.lit("word "), (F.col("q") * 1.0).cast("int"))
-    error = F.when(F.col("l_orderkey") % 50 == 0, F.lit("bad xref"))
+    error = F.when(F.col("l_orderkey") % 50 == 0, F.lit("no trailer"))
     o = r.select("l_orderkey", extract.pdf_outcome("page_count", "failed_pages", body, error).alias("o"))
     return o.select("l_orderkey", "o.status", "o.detail", F.length("o.text").alias("chars"))
 

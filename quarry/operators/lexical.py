@@ -55,9 +55,10 @@ def ranged(found: DataFrame) -> DataFrame:
 
 
 def statistics(chunks: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """(field, n, avg_len): one row a field; all chunks count."""
-    sums = chunks.select(*[F.size(tokens(F.coalesce(f, F.lit("")))).alias(f) for f in fields]).agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in fields])
-    return sums.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("avg_len")) for f in fields])).alias("x")).select("x.field", "n", "x.avg_len")
+    """(field, n, total, avg_len): one row a field; all chunks count."""
+    sums = chunks.select(*[F.size(tokens(F.coalesce(f, F.lit("")))).alias(f) for f in fields]).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in fields])
+    each = sums.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("total")) for f in fields])).alias("x"))
+    return each.select("x.field", "n", "x.total", F.try_divide("x.total", "n").alias("avg_len"))
 
 
 def document_frequency(found: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ ORACLES = {
     "pdf_outcome": """WITH r AS (SELECT l_orderkey, max(l_linenumber) AS pages, coalesce(list_sort(list(l_linenumber) FILTER (l_returnflag = 'R')), []) AS bad, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1),
       x AS (SELECT *, len(bad) AS nb, greatest(pages - len(bad), 0) AS good, 5 * q AS chars FROM r),
       y AS (SELECT *, CASE WHEN l_orderkey % 50 = 0 THEN 0 WHEN q = 0 OR good = 0 THEN 1 WHEN nb > 0 THEN 2 WHEN pages > 2 AND chars < 200 * pages THEN 3 ELSE 4 END AS k FROM x)
-      SELECT l_orderkey, ['failed', 'failed', 'partial', 'suspicious', 'ok'][k + 1] AS status, CASE k WHEN 0 THEN 'malformed PDF: bad xref'
+      SELECT l_orderkey, ['failed', 'failed', 'partial', 'suspicious', 'ok'][k + 1] AS status, CASE k WHEN 0 THEN 'malformed PDF: no trailer'
         WHEN 1 THEN 'malformed PDF: ' || CASE WHEN nb = 0 THEN 'no extractable text' ELSE 'all ' || pages || ' pages failed to extract' END
         WHEN 2 THEN 'extracted ' || good || '/' || pages || ' pages (failed: ' || array_to_string(bad[1:8], ', ') || CASE WHEN nb > 8 THEN ', +' || (nb - 8) || ' more' ELSE '' END || ')'
         WHEN 3 THEN 'low text volume: ' || chars || ' chars over ' || pages || ' pages (~' || (chars // greatest(pages, 1)) || '/page)' ELSE '' END AS detail,

@@ -33,7 +33,7 @@ def test_commands(spark, lib, capsys):  # noqa: F811
 def test_reports(spark):
     def extractor(content):
         if content == b"crash":
-            raise ValueError("bad xref")
+            raise ValueError("no trailer")
         if content == b"memory":
             bytearray(8 << 30)
         yield 2
@@ -43,7 +43,7 @@ def test_reports(spark):
     files = spark.createDataFrame([("a", 3, b"one"), ("b", 5, b"crash"), ("c", 6, b"memory"), ("d", 200 * 1024 * 1024, b"")], "location string, size long, content binary")
     got = {r.location: r for r in documents.reports(files, extractor).collect()}
     assert (got["a"].page_count, got["a"].failed_pages, got["a"].text, got["a"].document_error) == (2, [2], "one", None)
-    assert got["b"].document_error == "ValueError: bad xref" and "MemoryError" in got["c"].document_error and "d" not in got
+    assert got["b"].document_error == "ValueError: no trailer" and "MemoryError" in got["c"].document_error and "d" not in got
 
 
 def test_batch_reranker(spark):

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import render
 from quarry.operators.embed import BatchEmbedder, HashingEmbedder
@@ -129,6 +130,64 @@ def test_store_guards(spark, lib):
         library.read_items(spark, lib[3] + "/nothing")
 
 
+def _bytes(root, names):
+    return sum(f.stat().st_size for n in names for f in (root / n).rglob("*.parquet"))
+
+
+def test_segments_grow_with_the_change_and_merge(spark, lib, tmp_path, monkeypatch):
+    from quarry.plans import store as module
+
+    source, pages, reports, root = lib
+    many = "\n".join(_record(f"N{i:04d}", 1, itemType="note", note=f"<p>{LONG} {i}</p>") for i in range(40))
+    (source / "3.json").write_text(many)
+    _build(spark, lib)
+    folder = tmp_path / "index"
+    first = {p.name for p in folder.iterdir() if p.name.startswith("segment-")}
+    (source / "4.json").write_text(_record("ONE", 2, itemType="note", note="only one changed"))
+    store, _, run = _build(spark, lib)
+    assert (run.added, run.reindexed) == (1, 1)
+    new = {p.name for p in folder.iterdir() if p.name.startswith("segment-")} - first
+    assert len(store.segments) == 2 and _bytes(folder, new) < 0.5 * _bytes(folder, first)
+    monkeypatch.setattr(module, "COMPACT", 2)
+    (source / "4.json").write_text(_record("ONE", 3, itemType="note", note="merged"))
+    store, _, _ = _build(spark, lib)
+    assert len(store.segments) == 1 and store.table("chunks").where("item_key = 'ONE' and chunk_type = 'fulltext'").first().text == "merged"
+    assert len(store.vacuum(keep=1)) == 3
+    # The snapshot is what a build at once would be.
+    whole = SnapshotStore(spark, str(tmp_path / "whole"), "hashing-16", 16)
+    build_index(whole, library.read_items(spark, str(source)), HashingEmbedder(16), library.read_files(spark, str(pages)), reports)
+    rows = lambda s, t: sorted(str(r) for r in s.table(t).collect())
+    for t in ("chunks", "status", "versions", "skipped", "postings", "stats"):
+        assert rows(store, t) == rows(whole, t), t
+    assert store.table("meta").first()[5:] == whole.table("meta").first()[5:]
+
+
+class _Failing(HashingEmbedder):
+    """Fails on the texts of one item."""
+
+    def column(self, text):
+        bad = F.col(text).contains("poison")
+        return F.when(bad, F.raise_error(F.lit("no vector")).cast("array<float>")).otherwise(super().column(text))
+
+
+def test_checkpoints_are_resumed(spark, lib, tmp_path):
+    source, pages, reports, root = lib
+    (source / "3.json").write_text("\n".join(_record(f"N{i}", 1, itemType="note", note="poison" if i == 3 else f"note {i}") for i in range(5)))
+    items = library.read_items(spark, str(source))
+    store = SnapshotStore(spark, root, "hashing-16", 16)
+    with pytest.raises(Exception, match="no vector"):
+        build_index(store, items, _Failing(16), library.read_files(spark, str(pages)), reports, checkpoint=6)
+    done = {r.item_key for r in SnapshotStore(spark, root, "hashing-16", 16).table("versions").collect()}
+    store = SnapshotStore(spark, root, "hashing-16", 16)
+    run = build_index(store, items, HashingEmbedder(16), library.read_files(spark, str(pages)), reports, checkpoint=6)
+    assert run.added == 12 - len(done) and "N3" not in done and run.item_count == 11
+    assert store.integrity() is None
+    broken = SnapshotStore(spark, str(tmp_path / "broken"), "m", 1)
+    broken.commit(chunks=(None, store.table("chunks").withColumn("embedding", F.lit(None).cast("array<float>"))))
+    with pytest.warns(UserWarning, match="vectors"):
+        SnapshotStore(spark, str(tmp_path / "broken"), "m", 1)
+
+
 def test_stream(spark, lib, tmp_path):
     source, pages, reports, root = lib
     store, embedder = SnapshotStore(spark, root, "hashing-16", 16), HashingEmbedder(16)

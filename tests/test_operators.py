@@ -10,39 +10,39 @@ V = "item_key string, version long"
 
 
 def test_diff_classifies(spark):
-    local = spark.createDataFrame([("SAME", 3), ("CHANGED", 3), ("GONE", 9)], V)
-    remote = spark.createDataFrame([("SAME", 3), ("CHANGED", 4), ("NEW", 1)], V)
-    assert {(r.item_key, r.action) for r in sync.diff(remote, local).collect()} == {("CHANGED", "add"), ("NEW", "add"), ("GONE", "delete")}
+    local = spark.createDataFrame([("KEPT", 3), ("MOVED", 3), ("LOST", 9)], V)
+    remote = spark.createDataFrame([("KEPT", 3), ("MOVED", 4), ("FRESH", 1)], V)
+    assert {(r.item_key, r.action) for r in sync.diff(remote, local).collect()} == {("MOVED", "add"), ("FRESH", "add"), ("LOST", "delete")}
     assert sync.diff(local, local).count() == 0
-    assert {r.action for r in sync.diff(spark.createDataFrame([("CHANGED", 2)], V), local.where("item_key = 'CHANGED'")).collect()} == {"add"}
+    assert {r.action for r in sync.diff(spark.createDataFrame([("MOVED", 2)], V), local.where("item_key = 'MOVED'")).collect()} == {"add"}
 
 
 def test_rebuilt_versions(spark):
-    known = spark.createDataFrame([("OLD_PRESENT", 5), ("OLD_DELETED", 7)], V)
-    remote = spark.createDataFrame([("OLD_PRESENT", 5), ("NEW_OK", 10), ("NEW_FAILED", 11)], V)
-    done = spark.createDataFrame([("NEW_OK", 10)], V)
-    assert {tuple(r) for r in sync.rebuilt_versions(known, remote, done).collect()} == {("OLD_PRESENT", 5), ("NEW_OK", 10)}
+    known = spark.createDataFrame([("STAYS", 5), ("LEAVES", 7)], V)
+    remote = spark.createDataFrame([("STAYS", 5), ("COMES", 10), ("BREAKS", 11)], V)
+    done = spark.createDataFrame([("COMES", 10)], V)
+    assert {tuple(r) for r in sync.rebuilt_versions(known, remote, done).collect()} == {("STAYS", 5), ("COMES", 10)}
 
 
 def test_retry_sets(spark):
-    status = spark.createDataFrame([("OLD_NA", "no-attachment", 0), ("CUR_NA", "no-attachment", 2), ("OLD_OK", "ok", 0), ("BAD", "failed", 2), ("GONE", "partial", 2)], "item_key string, status string, status_version int")
-    assert {r.item_key for r in sync.stale(status).collect()} == {"OLD_NA"}
-    metas = spark.createDataFrame([("INDEXED", "text"), ("BARE", ""), ("CUR_NA", "")], "item_key string, fulltext string")
-    versions = spark.createDataFrame([("INDEXED", 1), ("SKIPPED", 2)], V)
-    assert {r.item_key for r in sync.unchunked(versions, metas).collect()} == {"SKIPPED"}
-    assert sync.unchunked(versions, metas, versions.where("item_key = 'SKIPPED'")).count() == 0
+    status = spark.createDataFrame([("BARE_EARLY", "no-attachment", 0), ("BARE_LATE", "no-attachment", 2), ("FINE_EARLY", "ok", 0), ("BAD", "failed", 2), ("LOST", "partial", 2)], "item_key string, status string, status_version int")
+    assert {r.item_key for r in sync.stale(status).collect()} == {"BARE_EARLY"}
+    metas = spark.createDataFrame([("CUT", "text"), ("BARE", ""), ("BARE_LATE", "")], "item_key string, fulltext string")
+    versions = spark.createDataFrame([("CUT", 1), ("PASSED", 2)], V)
+    assert {r.item_key for r in sync.unchunked(versions, metas).collect()} == {"PASSED"}
+    assert sync.unchunked(versions, metas, versions.where("item_key = 'PASSED'")).count() == 0
     assert {r.item_key for r in sync.untracked(metas, status).collect()} == {"BARE"}
-    remote = spark.createDataFrame([(k, 1) for k in ("OLD_NA", "BAD", "BARE", "SKIPPED", "QUEUED")], V)
-    changes = spark.createDataFrame([("SKIPPED", "add")], "item_key string, action string")
-    assert {r.item_key for r in sync.retry_keys(status, metas, versions, remote, changes).collect()} == {"OLD_NA", "BAD", "BARE"}
+    remote = spark.createDataFrame([(k, 1) for k in ("BARE_EARLY", "BAD", "BARE", "PASSED", "QUEUED")], V)
+    changes = spark.createDataFrame([("PASSED", "add")], "item_key string, action string")
+    assert {r.item_key for r in sync.retry_keys(status, metas, versions, remote, changes).collect()} == {"BARE_EARLY", "BAD", "BARE"}
 
 
 def test_upsert_and_delete_leave_prefixes_alone(spark):
     c = "chunk_id string, item_key string"
-    old = spark.createDataFrame([("ABCD_meta", "ABCD"), ("ABCD_0", "ABCD"), ("ABC_meta", "ABC"), ("ABC_0", "ABC"), ("ABC_1", "ABC")], c)
-    new = spark.createDataFrame([("ABC_meta", "ABC"), ("ABC_0", "ABC")], c)
-    assert sorted(r.chunk_id for r in sync.upsert(old, new, new).collect()) == ["ABCD_0", "ABCD_meta", "ABC_0", "ABC_meta"]
-    assert {r.item_key for r in sync.delete(old, new).collect()} == {"ABCD"}
+    old = spark.createDataFrame([("SEAS_meta", "SEAS"), ("SEAS_0", "SEAS"), ("SEA_meta", "SEA"), ("SEA_0", "SEA"), ("SEA_1", "SEA")], c)
+    new = spark.createDataFrame([("SEA_meta", "SEA"), ("SEA_0", "SEA")], c)
+    assert sorted(r.chunk_id for r in sync.upsert(old, new, new).collect()) == ["SEAS_0", "SEAS_meta", "SEA_0", "SEA_meta"]
+    assert {r.item_key for r in sync.delete(old, new).collect()} == {"SEAS"}
 
 
 def _corpus(spark):
