@@ -37,9 +37,9 @@ PATTERNS = {
 PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])|0++)"  # zeros alone leave nothing for the number
 VALID_IP = rf"^{PART}(?:\.{PART}){{3}}$"
 GENERATORS = {
-    "number": r"(?<![0-9A-Za-z+@._-])(?:\([0-9]{1,4}\)[ ]?)?[0-9]{2,}+(?:[ .-][0-9]{2,}+)*+(?![0-9A-Za-z@])",
+    "number": r"(?<![0-9A-Za-z+@._/-])(?:\([0-9]{1,4}\)[ ]?|[0-9][ .-](?=[0-9]{3}))?[0-9]{2,}+(?: ?\([0-9]{1,4}\) ?[0-9]++)?(?:[ ./-][0-9]{2,}+)*+(?![0-9A-Za-z@])",
     "spelled": rf"(?<!{LOCAL}){LOCAL}++ ?(?:\[at\]|\(at\)|\{{at\}}| at ) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\{{dot\}}| dot |\.) ?[A-Za-z0-9-]++)++",
-    "colons": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+::?){3,7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
+    "colons": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+::?){1,7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "number": "", "spelled": "at", "colons": ":"}
 CONTEXT = 40
@@ -50,7 +50,7 @@ WORDS = {
     "host": r"(?i)\b(?:ip|ipv6|host|server|addr|address|inet6?)\b",
     "other": r"(?i)\b(?:isbn|issn|version|page|pages|pp|vol|order|invoice|no|date|year|figure|section|doi|price|total)\b",
 }
-FEATURES = ["generator", "digits", "groups", "longest", "parens", "dots", "dashes", "spaces", "length", "luhn", "year", *WORDS]
+FEATURES = ["generator", "digits", "groups", "longest", "parens", "dots", "dashes", "spaces", "length", "luhn", "year", "slashes", "colons", "gaps", "letters", *WORDS]
 BLOCK = 128
 
 
@@ -160,6 +160,10 @@ def feature_columns(generator: int, m: Column, before: Column) -> dict[str, Colu
         "length": F.length(m),
         "luhn": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
         "year": m.rlike(r"^(?:19|20)[0-9]{2}(?:[^0-9]|$)").cast("int"),
+        "slashes": count("/"),
+        "colons": count(":"),
+        "gaps": m.contains("::").cast("int"),
+        "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
     }
     return found | {w: before.rlike(p).cast("int") for w, p in WORDS.items()}
 
@@ -174,19 +178,21 @@ def _row(generator: int, m: str, before: str) -> list[float]:
     return [
         generator, len(digits), len(groups), max(map(len, groups), default=0), m.count("(") + m.count("["), m.count("."), m.count("-"), m.count(" "), len(m),
         float(12 <= len(digits) <= 19 and sum(doubled) % 10 == 0), float(bool(re.match(r"(?:19|20)[0-9]{2}(?:[^0-9]|$)", m))),
+        m.count("/"), m.count(":"), float("::" in m), len(re.sub("[^A-Za-z]", "", m)),
         *(float(bool(re.search(p, before))) for p in WORDS.values()),
     ]
 
 
-def examples(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def examples(n: int = 5000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Written candidates with labels."""
     rng = np.random.default_rng(seed)
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    hexes = lambda k: [f"{x:x}" for x in rng.integers(0, 65536, k)]
     pick = lambda *xs: xs[rng.integers(len(xs))]
     filler = lambda: pick("the result of the", "and then we saw", "it is about", "in the table", "there were", "", "see also the list")
     rows, labels = [], []
     for _ in range(n):
-        case = rng.integers(0, 12)
+        case = rng.integers(0, 17)
         sep = pick(" ", "-", ".")
         if case == 0:
             g, m, b, y = 0, pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"0{num(2)}{sep}{num(4)}{sep}{num(4)}"), pick("call me at", "phone:", "tel", "my mobile is", filler()), 1
@@ -210,6 +216,16 @@ def examples(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             g, m, b, y = 1, f"{pick('look', 'we', 'are', 'arrive')} at {pick('home', 'the', 'page')}{pick('. ', '.')}{pick('The', 'Then', 'It', '5')}", filler(), 0
         elif case == 10:
             g, m, b, y = 2, ":".join(num(2) for _ in range(rng.integers(4, 6))), pick("time", "at", "ratio", filler()), 0
+        elif case == 11:
+            g, m, b, y = 0, pick(f"00{num(2)} (0){num(2)} {num(4)} {num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(3)}", f"0{num(2)}/{num(7)}", f"0{num(4)}/{num(6)}", f"1{sep}{num(3)}{sep}{num(3)}{sep}{num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"), pick("call", "telefon", "phone:", "dial", "whatsapp", "fax", filler()), 1
+        elif case == 12:
+            g, m, b, y = 2, "::".join(":".join(hexes(rng.integers(1, 4))) for _ in range(2)), pick("host", "server", "ping", filler()), 1
+        elif case == 13:
+            g, m, b, y = 2, pick(":".join(f"{x:02x}" for x in rng.integers(0, 256, 6)), f"{num(2)}:{num(2)}:{num(2)}", "::".join(pick("std", "a", "be", "cafe", "add") for _ in range(2))), pick("mac", "device", "card", "at", "use", filler()), 0
+        elif case == 14:
+            g, m, b, y = 0, pick(f"{num(2)}/{num(2)}/{rng.integers(1900, 2030)}", f"{rng.integers(1900, 2030)}/{num(2)}", f"{num(3)}/{num(3)}", f"{num(2)}/{num(2)}/{num(2)}"), pick("date", "page", "no", filler()), 0
+        elif case == 15:
+            g, m, b, y = 0, pick(f"{num(1)} {num(3)} {num(3)}", f"{rng.integers(1, 10)} {num(3)} {num(3)} {num(3)}", f"{num(2)}.{num(3)}.{num(3)}"), pick("total", "population", "a total of", "price", filler()), 0
         else:
             g, m, b, y = 0, pick(f"{num(3)}.{num(2)}.{num(2)}", f"{num(2)}.{num(2)}"), pick("version", "section", "figure"), 0
         rows.append(_row(g, m, f"{b} "))
