@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, embeddedup, langid, lm, packing, pii, quality, simhash, tokenfile, tokens, topk
 from .common import crc_bucket, scratch
 
-
+#: Orders above are tested, but need more disk than the check tool allows (README).
 LM_ORDER = 2
 
 
@@ -78,7 +78,8 @@ def op9_topk(spark, sf_dir):
 
 def op10_tokenfile(spark, sf_dir):
     path = scratch(spark, "tokens")
-    tokenfile.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), tokens.WORD_PATTERN)
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    tokenfile.write(_read(spark, sf_dir, "documents"), path, vocabulary, tokens.pattern_of(vocabulary))
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -3,6 +3,9 @@
 Unicode properties are slow to test. For texts of Latin characters alone, the bulk of most corpora, the pattern's
 classes are spelled out as ranges, which the standard library's engine matches two to three times as fast; all other
 texts go by the pattern itself.
+
+Edge cases: a null text isn't split (callers take it as empty), an empty one has no matches, long ones are split whole;
+repeated texts and columns of tables don't matter here, as all work is on one text.
 """
 
 from __future__ import annotations
@@ -41,8 +44,23 @@ def spelled_out(pattern: str) -> str:
     return "".join(out)
 
 
+def hoisted(pattern: str) -> str:
+    """pattern with its alternatives that begin with a class first, where no alternative before them can match at a character of the class.
+
+    That changes no match, and spares most characters the tests of the literal alternatives.
+    """
+    parts = [p for p in regex.findall(r"(?:\\.|\[(?:\\.|[^\]])*\]|\((?:\\.|[^()])*\)|[^|])+", pattern)]
+    first, rest = [], []
+    for part in parts:
+        own = regex.match(r"\[(?:\\.|[^\]])*\]", part)
+        begins = [x[1] if x[0] == "\\" else x[0] for x in rest]
+        plain = all(regex.match(r"\\?[^\w\s\[\](){}?*+.^$]|\w", x) for x in rest)  # a literal character
+        (first if own and plain and not any(regex.match(own[0], c) for c in begins) else rest).append(part)
+    return "|".join(first + rest)
+
+
 @lru_cache
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """A function from a text to the list of all matches."""
-    whole, plain = regex.compile(pattern).findall, re.compile(spelled_out(pattern)).findall
+    whole, plain = regex.compile(pattern).findall, re.compile(spelled_out(hoisted(pattern))).findall
     return lambda text: plain(text) if PLAIN(text) else whole(text)

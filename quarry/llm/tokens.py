@@ -5,6 +5,9 @@ pre-token that is new to the worker. That gives the same ids as encoding the who
 normalisation of a pre-token don't depend on its surroundings; texts for which this isn't certain (it isn't all plain
 Latin) go through the tokenizer whole. So do texts that hold the content of one of the tokenizer's added tokens, such
 as <|endoftext|>: as by the library's default, each is one id.
+
+Edge cases: a null text counts as empty and has no ids; texts are taken whole, and long pre-tokens aren't cached. Tables
+and their columns don't matter here, as all work is on one text.
 """
 
 from __future__ import annotations
@@ -22,8 +25,15 @@ from .split import PLAIN, splitter
 CACHE_ENTRIES = 200_000
 CACHED_CHARS = 40
 
-#: How the vocabulary of words splits a text, once it is in lower case.
-WORD_PATTERN = r"[\p{L}]+|'(?:[stmd]|re|ve|ll)|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+def pattern_of(path: str) -> str:
+    """The pattern by which a tokenizer file splits texts."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["pre_tokenizer"]
+    for step in found.get("pretokenizers", [found]):
+        if step["type"] == "Split" and "Regex" in step["pattern"]:
+            return step["pattern"]["Regex"]
+    raise ValueError("the tokenizer has no pattern of its own")
 
 
 def byte_alphabet() -> list[str]:
