@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import render
 from .functions.text import file_path_of
-from .operators import catalog
+from .operators import catalog, documents
 from .operators.embed import HashingEmbedder
 from .operators.hybrid import overlap_reranker
 from .operators.items import SearchFilters
@@ -18,7 +18,7 @@ from .plans.engine import Engine
 from .plans.index import build_index
 from .plans.store import SnapshotStore
 from .session import get_session
-from .sources import library
+from .sources import library, pdf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -108,7 +108,8 @@ def answer(spark, args) -> str:
     if args.what == "issues":
         return render.json_document(engine.issues(), "issues") if args.json else render.issues_text(engine.issues())
     files = library.read_files(spark, args.files) if args.files else None
-    run = build_index(store, items, embedder, files, force=args.force)
+    found = documents.reports(files.where("lower(location) like '%.pdf'"), pdf.pages) if files is not None else None
+    run = build_index(store, items, embedder, files, found, force=args.force)
     if args.json:
         return json.dumps(vars(run), indent=2)
     return f"Done. {run.added} new or changed, {run.deleted} deleted, {run.retried} retried; {run.reindexed} indexed again. {run.item_count} items, {run.chunk_count} chunks."

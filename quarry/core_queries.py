@@ -6,12 +6,16 @@ labels for statuses, pages for saved pages, conversations for notes and children
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
+from . import model
 from .functions import chunk, stem, text
 from .operators import catalog, embed, extract, hybrid, items, lexical, sync, vector
 from .operators.items import SearchFilters
-from .session import spread
+from .plans.store import SnapshotStore
+from .session import scratch, spread
 
 TERMS = "the of que"
 DIM = 64
@@ -317,6 +321,34 @@ def upsert_chunks(spark, sf_dir):
     return sync.upsert(old, new, changed)
 
 
+def stored_snapshot(spark, sf_dir):
+    """upsert_chunks by a store: all chunks are committed, then those of every fifth item are replaced; what a reopened store holds."""
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (f.split(" ", 1) for f in model.CHUNKS.split(", ")) if c not in ("chunk_id", "item_key", "chunk_type", "i", "char_start", "char_end", "text")]
+    root = scratch(spark, "index")
+    store = SnapshotStore(spark, root, "none", 0, force=True)
+    store.commit(chunks=(None, _full_chunks(spark, sf_dir).select("chunk_id", "item_key", "chunk_type", "i", "char_start", "char_end", "text", *empty)))
+    changed = _documents(spark, sf_dir).where("cast(item_key as long) % 5 = 0").withColumn("fulltext", F.concat(F.lit("x"), "fulltext"))
+    new = chunk.fulltext_chunks(changed, "item_key", "fulltext", 1000, 0).select("chunk_id", "item_key", "chunk_type", "i", "char_start", "char_end", "text", *empty)
+    store.commit(chunks=(changed, new))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # there are no vectors here
+        again = SnapshotStore(spark, root, "none", 0)
+    return again.table("chunks").select("chunk_id", "item_key", F.md5("text").alias("text_md5"))
+
+
+def _listed(df):
+    """A small listing with the rank of each row in it."""
+    return df.coalesce(1).withColumn("rank", F.monotonically_increasing_id() + 1)
+
+
+def tags_ranked(spark, sf_dir):
+    return _listed(tags_list(spark, sf_dir))
+
+
+def issues_ranked(spark, sf_dir):
+    return _listed(issues_list(spark, sf_dir)).select("rank", "key", "status")
+
+
 def delete_items(spark, sf_dir):
     gone = _documents(spark, sf_dir).where("cast(item_key as long) % 11 = 0")
     return sync.delete(_full_chunks(spark, sf_dir).select("chunk_id", "item_key"), gone)
@@ -408,9 +440,10 @@ def find_items(spark, sf_dir):
 
 
 def get_item(spark, sf_dir):
-    d = _documents(spark, sf_dir).withColumns({"creators": F.expr("array(named_struct('creatorType', 'author', 'firstName', '', 'lastName', '', 'name', creators))"), "url": F.lit(""), "extra": F.lit("{}")})
-    found = catalog.get(d, "0000000042")
-    return found.select("key", "title", text.creators_string("creators").alias("creators"), "item_type", text.tags_string("tags").alias("tags"))
+    d = _documents(spark, sf_dir).withColumn("creators", F.expr("array(named_struct('creatorType', 'author', 'firstName', '', 'lastName', '', 'name', creators))"))
+    bare = {f.split()[0]: F.lit("{}" if f.startswith("extra") else "") for f in model.ITEMS.split(", ") if f.endswith(" string")}
+    found = catalog.get(d.withColumns({c: v for c, v in bare.items() if c not in d.columns}), "0000000042")
+    return found.select("key", "title", F.array_join("creators.name", "; ").alias("creators"), "item_type", text.tags_string("tags").alias("tags"))
 
 
 def fulltext_slice(spark, sf_dir):
@@ -426,7 +459,7 @@ QUERIES = [
     chunk_documents, chunk_stats, metadata_chunks, prefix_ownership, html_strip, html_outcome_fallback, html_readability, note_strip, clean_text, pdf_outcome,
     tokenize_stats, postings, doc_frequency, bm25_top, bm25_filtered, bm25_per_item, bm25_multi_field, bm25_grammar, bm25_stemmed, phrase_query, stems,
     cosine_top, cosine_filtered, cosine_many, rrf_fusion, hybrid_search, hybrid_filtered, hybrid_reranked,
-    sync_diff, sync_counts, retry_keys, stale_no_attachment, untracked_keys, unchunked_keys, rebuild_versions, upsert_chunks, delete_items, change_hash,
-    status_breakdown, issues_list, items_without_fulltext, index_counts, tags_list, tags_contains, authors_list, authors_contains, creators_strings,
+    sync_diff, sync_counts, retry_keys, stale_no_attachment, untracked_keys, unchunked_keys, rebuild_versions, upsert_chunks, stored_snapshot, delete_items, change_hash,
+    status_breakdown, issues_list, issues_ranked, tags_ranked, items_without_fulltext, index_counts, tags_list, tags_contains, authors_list, authors_contains, creators_strings,
     item_predicates, child_pick, pdf_paths, find_items, get_item, fulltext_slice, shortened,
 ]

@@ -2,13 +2,12 @@
 
 An extractor is a function from a file's bytes to an iterator that first gives the number of pages and then each page's
 text, or an exception object for a page that failed. A file that exhausts memory or time, or kills its process, costs a
-report with the reason and nothing else. No parser comes with the library; pass one that your executors have.
+report with the reason and nothing else. sources.pdf.pages is an extractor for simple files; others plug in.
 """
 
 from __future__ import annotations
 
 import json
-import resource
 import subprocess
 import sys
 from collections.abc import Callable, Iterator
@@ -25,7 +24,10 @@ CPU_S = 120
 REPORT = "location string, page_count int, failed_pages array<int>, text string, document_error string"
 
 _CHILD = """
-import json, pickle, sys
+import json, pickle, resource, sys
+memory, seconds = int(sys.argv[1]), int(sys.argv[2])
+resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
+resource.setrlimit(resource.RLIMIT_CPU, (seconds, seconds))
 made = pickle.load(sys.stdin.buffer)
 report = {"page_count": 0, "failed_pages": [], "text": "", "document_error": None}
 try:
@@ -44,15 +46,10 @@ sys.stdout.buffer.write(json.dumps(report).encode())
 """
 
 
-def _limits() -> None:
-    resource.setrlimit(resource.RLIMIT_AS, (MEMORY_KB * 1024, MEMORY_KB * 1024))
-    resource.setrlimit(resource.RLIMIT_CPU, (CPU_S, CPU_S))
-
-
 def report(extractor: Callable, content: bytes) -> dict:
     """The report of one file."""
     try:
-        run = subprocess.run([sys.executable, "-c", _CHILD], input=cloudpickle.dumps((extractor, content)), capture_output=True, preexec_fn=_limits, timeout=2 * CPU_S, check=False)
+        run = subprocess.run([sys.executable, "-c", _CHILD, str(MEMORY_KB * 1024), str(CPU_S)], input=cloudpickle.dumps((extractor, content)), capture_output=True, timeout=2 * CPU_S, check=False)
     except subprocess.TimeoutExpired:
         return {"page_count": 0, "failed_pages": [], "text": "", "document_error": "extractor timed out"}
     if run.returncode:

@@ -172,3 +172,8 @@ ORACLES = {
       substring(text, 101, least(900, length(text), 600) - 100) AS part FROM documents WHERE length(text) > 100""",
     "shortened": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS snippet FROM documents",
 }
+# The same rows by another way.
+ORACLES["stored_snapshot"] = ORACLES["upsert_chunks"]
+ORACLES["tags_ranked"] = f"SELECT *, row_number() OVER (ORDER BY lower(tag), tag) AS rank FROM ({ORACLES['tags_list']})"
+ORACLES["issues_ranked"] = f"""SELECT row_number() OVER (ORDER BY list_position(['failed', 'partial', 'suspicious', 'no-attachment'], status), key) AS rank, key, status
+  FROM ({ORACLES["issues_list"]})"""
