@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set and the master is local, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_FOLDERS: dict[str, SparkSession] = {}  # what this process has written and not yet released
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; its folder is deleted by release(), or when the driver's process ends."""
-    folder = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    if not _FOLDERS:
-        atexit.unregister(release)
-        atexit.register(release)
-    _FOLDERS[folder] = spark
-    return f"{folder}/{name}"
-
-
-def release() -> None:
-    """Delete the intermediate tables of this process. Results that still read them must have been written before."""
-    for folder, spark in list(_FOLDERS.items()):
-        _FOLDERS.pop(folder)
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        except Exception:  # noqa: BLE001, PERF203 - the JVM may be gone: the folder stays, as after a crash
-            return
+from ..session import release, scratch, shared_dir
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
