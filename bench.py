@@ -11,6 +11,7 @@ from quarry.session import get_session
 HEADLINE = [
     "chunk_documents", "html_strip", "html_outcome_fallback", "tokenize_stats", "postings", "doc_frequency", "bm25_top", "bm25_filtered", "bm25_multi_field", "cosine_top", "cosine_many",
     "rrf_fusion", "hybrid_search", "hybrid_filtered", "hybrid_reranked", "sync_diff", "retry_keys", "rebuild_versions", "upsert_chunks", "tags_list", "status_breakdown", "change_hash",
+    "bm25_grammar", "bm25_stemmed", "phrase_query", "note_strip", "clean_text", "issues_list", "index_counts", "find_items", "stored_snapshot",
 ]
 
 
