@@ -112,10 +112,11 @@ def clean_text(spark, sf_dir):
 
 
 def _reports(spark, sf_dir):
-    """Worker reports made up from orders: pages from the lines, failed pages where a line was returned."""
+    """Worker reports made up from orders: pages from the lines and ten more, failed ones where a line was returned, and ten pages on."""
     lines = _read(spark, sf_dir, "lineitem")
     bad = F.array_sort(F.filter(F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))), lambda x: x.isNotNull()))
-    return lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("page_count"), bad.alias("failed_pages"), F.sum("l_quantity").alias("q"))
+    found = lines.groupBy("l_orderkey").agg((F.max("l_linenumber") + 10).alias("page_count"), bad.alias("bad"), F.sum("l_quantity").alias("q"))
+    return found.withColumn("failed_pages", F.array_sort(F.concat("bad", F.transform("bad", lambda x: x + 10))))
 
 
 def pdf_outcome(spark, sf_dir):

@@ -89,7 +89,8 @@ ORACLES = {
       SELECT conv_id, turn, CASE WHEN t = '' THEN 'no-attachment' ELSE 'ok' END AS status, CASE WHEN t = '' THEN 'empty note' ELSE 'note content' END AS detail, t AS note_text FROM s""",
     "clean_text": f"""SELECT doc_id, md5(array_to_string([y FOR y IN [regexp_replace(x, '^[{WHITE}]+|[{WHITE}]+$', '', 'g') FOR x IN string_split(chr(10) || '  ' || replace(text, ' ', ' ' || chr(10) || chr(9)) || chr(10) || chr(10), chr(10))]
       IF y <> ''], chr(10))) AS cleaned_md5 FROM documents""",
-    "pdf_outcome": """WITH r AS (SELECT l_orderkey, max(l_linenumber) AS pages, coalesce(list_sort(list(l_linenumber) FILTER (l_returnflag = 'R')), []) AS bad, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1),
+    "pdf_outcome": """WITH o AS (SELECT l_orderkey, max(l_linenumber) + 10 AS pages, coalesce(list(l_linenumber) FILTER (l_returnflag = 'R'), []) AS b, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1),
+      r AS (SELECT *, list_sort(list_concat(b, [p + 10 FOR p IN b])) AS bad FROM o),
       x AS (SELECT *, len(bad) AS nb, greatest(pages - len(bad), 0) AS good, 5 * q AS chars FROM r),
       y AS (SELECT *, CASE WHEN l_orderkey % 50 = 0 THEN 0 WHEN q = 0 OR good = 0 THEN 1 WHEN nb > 0 THEN 2 WHEN pages > 2 AND chars < 200 * pages THEN 3 ELSE 4 END AS k FROM x)
       SELECT l_orderkey, ['failed', 'failed', 'partial', 'suspicious', 'ok'][k + 1] AS status, CASE k WHEN 0 THEN 'malformed PDF: no trailer'
