@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embeddedup, langid, lm, packing, pii, quality, simhash, tokenfile, tokens, topk
+from . import bpe, embeddedup, langid, lexsearch, lm, packing, pii, quality, simhash, tokenfile, tokens, topk
 from .common import crc_bucket, scratch
 
 #: Orders above are tested, but need more disk than the check tool allows (README).
@@ -83,6 +83,10 @@ def op10_tokenfile(spark, sf_dir):
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_search(spark, sf_dir):
+    return lexsearch.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
@@ -101,9 +105,34 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents
+), docs AS (SELECT r, doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+stats AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS words FROM docs),
+q AS (
+  SELECT i, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), post AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM post GROUP BY 1), stats
+), impact AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total) // words))) AS v
+  FROM post JOIN docs USING (r) JOIN w USING (term), stats
+), s AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM q JOIN impact USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries():
-    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_pii": op4_pii, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_pii": op4_pii, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile, "op11_search": op11_search}
 
 
 def oracle_sql():
-    return {"op9_topk": OP9_SQL}
+    return {"op9_topk": OP9_SQL, "op11_search": OP11_SQL}
