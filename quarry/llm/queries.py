@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embeddedup, langid, lexsearch, lm, packing, pii, quality, simhash, tokenfile, tokens, topk
+from . import bpe, embeddedup, langid, lexsearch, lm, packing, pii, quality, simhash, tokenfile, tokens, topk, winnow
 from .common import crc_bucket, scratch
 
 #: Orders above are tested, but need more disk than the check tool allows (README).
@@ -87,6 +87,10 @@ def op11_search(spark, sf_dir):
     return lexsearch.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_winnowing(spark, sf_dir):
+    return winnow.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
@@ -130,9 +134,30 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM documents
+), b AS (
+  SELECT item_id, w, least(10, len(w)) AS s FROM (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+  ) WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item_id, s, array_to_string(w[i:i + s - 1], ' ') AS t FROM (SELECT item_id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM b)
+), occurring AS (
+  SELECT r, s, i, array_to_string(w[i:i + s - 1], ' ') AS t FROM (
+    SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM d, (SELECT DISTINCT s FROM b) WHERE len(w) >= s
+  )
+), hit AS (SELECT r, s, i, item_id FROM occurring JOIN win USING (s, t)),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + s)) AS p FROM hit) GROUP BY 1),
+listed AS (SELECT r, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS digest FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN listed USING (r)
+"""
+
+
 def queries():
-    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_pii": op4_pii, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile, "op11_search": op11_search}
+    return {"op1_bpe": op1_bpe, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_pii": op4_pii, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_topk": op9_topk, "op10_tokenfile": op10_tokenfile, "op11_search": op11_search, "op12_winnowing": op12_winnowing}
 
 
 def oracle_sql():
-    return {"op9_topk": OP9_SQL, "op11_search": OP11_SQL}
+    return {"op9_topk": OP9_SQL, "op11_search": OP11_SQL, "op12_winnowing": OP12_SQL}
