@@ -31,18 +31,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_bucket, fresh, stored, trim_memory
+from .split import PLAIN, departs, members
 
 BUCKETS = 1 << 15
 GRAMS = 4
 CHUNK = 1 << 18
+LETTERS = (r"\p{L}",)
 NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
+def letters_of(text: str) -> str:
+    """A text's letters in lower case, runs of all else as one space."""
+    text = text.lower()
+    if not PLAIN(text) and departs(text, LETTERS):  # the regex library takes some for letters that aren't
+        own = members(LETTERS[0])
+        text = "".join(c if own[ord(c)] else " " for c in text)
+    return NOT_LETTERS.sub(" ", text)
+
+
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """The buckets of a text's subwords, a chunk at a time."""
     if not text:
         return
-    letters = NOT_LETTERS.sub(" ", text.lower()).strip()
+    letters = letters_of(text).strip()
     if not letters:
         return
     raw = np.frombuffer(f" {letters} ".encode(), dtype=np.uint8)
@@ -77,7 +88,7 @@ STRANGE_CHARS = 2000
 
 def strange(text: str, rng: np.random.Generator) -> str:
     """A text of no language, made from at most STRANGE_CHARS letters of a text."""
-    words = NOT_LETTERS.sub(" ", text.lower())[:STRANGE_CHARS].split()
+    words = letters_of(text)[:STRANGE_CHARS].split()
     words = words[: int(np.ceil(len(words) * rng.random() ** 2))] or ["a"]
     kind = rng.integers(0, 5)
     if kind == 0:

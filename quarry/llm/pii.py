@@ -36,9 +36,12 @@ PATTERNS = {
 }
 PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])|0++)"  # zeros alone leave nothing for the number
 VALID_IP = rf"^{PART}(?:\.{PART}){{3}}$"
+DOT = r" ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]++"
 GENERATORS = {
-    "number": r"(?<![0-9A-Za-z+@._/-])(?:\([0-9]{1,4}\)[ ]?|[0-9][ .-](?=[0-9]{3}))?[0-9]{2,}+(?: ?\([0-9]{1,4}\) ?[0-9]++)?(?:[ ./-][0-9]{2,}+)*+(?![0-9A-Za-z@])",
-    "spelled": rf"(?<!{LOCAL}){LOCAL}++ ?(?:\[at\]|\(at\)|\{{at\}}| at ) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\{{dot\}}| dot |\.) ?[A-Za-z0-9-]++)++",
+    # A number doesn't end at the hour of a time of day, so that a date isn't taken with it.
+    "number": r"(?<![0-9A-Za-z+@._/:-])(?:\([0-9]{1,4}\)[ ]?|[0-9][ .-](?=[0-9]{3}))?[0-9]{2,}+(?: ?\([0-9]{1,4}\) ?[0-9]++)?(?:[ ./-][0-9]{2,}+)*+(?![0-9A-Za-z@]|:[0-9])",
+    # A bare "at" needs a written "dot": a full stop after it ends a sentence.
+    "spelled": rf"(?<!{LOCAL}){LOCAL}++(?: ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?:{DOT}|\.[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?:{DOT})++)",
     "colons": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+::?){1,7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "number": "", "spelled": "at", "colons": ":"}
@@ -50,7 +53,7 @@ WORDS = {
     "host": r"(?i)\b(?:ip|ipv6|host|server|addr|address|inet6?)\b",
     "other": r"(?i)\b(?:isbn|issn|version|page|pages|pp|vol|order|invoice|no|date|year|figure|section|doi|price|total)\b",
 }
-FEATURES = ["generator", "digits", "groups", "longest", "parens", "dots", "dashes", "spaces", "length", "luhn", "year", "slashes", "colons", "gaps", "letters", *WORDS]
+FEATURES = ["generator", "digits", "groups", "longest", "parens", "dots", "dashes", "spaces", "length", "luhn", "year", "slashes", "colons", "gaps", "letters", "zero", "years", "round", "equal", *WORDS]
 BLOCK = 128
 
 
@@ -164,6 +167,10 @@ def feature_columns(generator: int, m: Column, before: Column) -> dict[str, Colu
         "colons": count(":"),
         "gaps": m.contains("::").cast("int"),
         "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
+        "zero": m.rlike("^[0(]").cast("int"),
+        "years": F.size(F.filter(groups, lambda g: g.rlike("^(?:19|20)[0-9]{2}$"))),
+        "round": F.size(F.filter(groups, lambda g: g.endswith("00"))),
+        "equal": F.size(F.array_distinct(F.transform(groups, F.length))),
     }
     return found | {w: before.rlike(p).cast("int") for w, p in WORDS.items()}
 
@@ -179,6 +186,7 @@ def _row(generator: int, m: str, before: str) -> list[float]:
         generator, len(digits), len(groups), max(map(len, groups), default=0), m.count("(") + m.count("["), m.count("."), m.count("-"), m.count(" "), len(m),
         float(12 <= len(digits) <= 19 and sum(doubled) % 10 == 0), float(bool(re.match(r"(?:19|20)[0-9]{2}(?:[^0-9]|$)", m))),
         m.count("/"), m.count(":"), float("::" in m), len(re.sub("[^A-Za-z]", "", m)),
+        float(m[0] in "0("), sum(bool(re.fullmatch("(?:19|20)[0-9]{2}", g)) for g in groups), sum(g.endswith("00") for g in groups), len(set(map(len, groups))),
         *(float(bool(re.search(p, before))) for p in WORDS.values()),
     ]
 
@@ -192,7 +200,7 @@ def examples(n: int = 5000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     filler = lambda: pick("the result of the", "and then we saw", "it is about", "in the table", "there were", "", "see also the list")
     rows, labels = [], []
     for _ in range(n):
-        case = rng.integers(0, 17)
+        case = rng.integers(0, 22)
         sep = pick(" ", "-", ".")
         if case == 0:
             g, m, b, y = 0, pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"0{num(2)}{sep}{num(4)}{sep}{num(4)}"), pick("call me at", "phone:", "tel", "my mobile is", filler()), 1
@@ -201,7 +209,7 @@ def examples(n: int = 5000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         elif case == 2:
             g, m, b, y = 0, pick(sep.join(num(4) for _ in range(4)), num(16)), pick("visa card", "credit card number", "my card:"), 1
         elif case == 3:
-            g, m, b, y = 1, f"{pick('jane.doe', 'sam', 'info', 'k.lee7')}{pick(' [at] ', '(at)', ' at ')}{pick('mail', 'example', 'uni-x')}{pick(' [dot] ', '(dot)', ' dot ')}{pick('com', 'org', 'net', 'de')}", pick("write to", "e-mail", "contact", filler()), 1
+            g, m, b, y = 1, f"{pick('jane.doe', 'sam', 'info', 'k.lee7')}{pick(' [at] ', '(at)', '{at}')}{pick('mail', 'example', 'uni-x')}{pick(' [dot] ', '(dot)', ' dot ', '.')}{pick('com', 'org', 'net', 'de')}", pick("write to", "e-mail", "contact", filler()), 1
         elif case == 4:
             g, m, b, y = 2, ":".join(f"{x:x}" for x in rng.integers(0, 65536, rng.integers(6, 9))), pick("host", "server", "ipv6 address", filler()), 1
         elif case == 5:
@@ -213,7 +221,8 @@ def examples(n: int = 5000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         elif case == 8:
             g, m, b, y = 0, pick(num(rng.integers(12, 24)), sep.join(num(rng.integers(2, 6)) for _ in range(rng.integers(5, 12)))), filler(), 0
         elif case == 9:
-            g, m, b, y = 1, f"{pick('look', 'we', 'are', 'arrive')} at {pick('home', 'the', 'page')}{pick('. ', '.')}{pick('The', 'Then', 'It', '5')}", filler(), 0
+            named = rng.random() < 0.5  # a bare "at" is an address's where an address is announced
+            g, m, b, y = 1, f"{pick('jane', 'sam', 'looked', 'arrived', 'k.lee7')} at {pick('home', 'noon', 'mail', 'example')} dot {pick('com', 'org', 'net')}", pick("write to", "e-mail:", "my address is", "reach me:") if named else filler(), float(named)
         elif case == 10:
             g, m, b, y = 2, ":".join(num(2) for _ in range(rng.integers(4, 6))), pick("time", "at", "ratio", filler()), 0
         elif case == 11:
@@ -226,8 +235,19 @@ def examples(n: int = 5000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             g, m, b, y = 0, pick(f"{num(2)}/{num(2)}/{rng.integers(1900, 2030)}", f"{rng.integers(1900, 2030)}/{num(2)}", f"{num(3)}/{num(3)}", f"{num(2)}/{num(2)}/{num(2)}"), pick("date", "page", "no", filler()), 0
         elif case == 15:
             g, m, b, y = 0, pick(f"{num(1)} {num(3)} {num(3)}", f"{rng.integers(1, 10)} {num(3)} {num(3)} {num(3)}", f"{num(2)}.{num(3)}.{num(3)}"), pick("total", "population", "a total of", "price", filler()), 0
-        else:
+        elif case == 16:
             g, m, b, y = 0, pick(f"{num(3)}.{num(2)}.{num(2)}", f"{num(2)}.{num(2)}"), pick("version", "section", "figure"), 0
+        elif case == 17:
+            year = lambda: str(rng.integers(1850, 2050))
+            g, m, b, y = 0, pick(" ".join(year() for _ in range(rng.integers(2, 7))), " ".join(f"{year()}-{year()}" for _ in range(rng.integers(1, 4))), f"{year()}-{num(2)}-{num(2)} {num(2)}", f"{year()}-{num(2)}-{num(2)} {num(4)}"), pick("the years", "season", "in", "logged at", filler()), 0
+        elif case == 18:
+            g, m, b, y = 0, " ".join(num(2) for _ in range(rng.integers(4, 9))), pick("scores", "ages", "the numbers", "a list of", filler()), 0
+        elif case == 19:
+            g, m, b, y = 0, pick(" ".join(f"{rng.integers(1, 10)}{pick('00', '000', '50', '500')}" for _ in range(rng.integers(2, 6))), " ".join(str(rng.integers(1, 10) * 1000) for _ in range(rng.integers(2, 5))), " ".join(num(4) for _ in range(rng.integers(2, 6)))), pick("rows", "values", "steps", "of", filler()), 0
+        elif case == 20:
+            g, m, b, y = 0, sep.join(f"{num(rng.integers(1, 4))}.{num(rng.integers(2, 7))}" for _ in range(rng.integers(2, 4))), pick("coords", "coordinates", "at", "position", "measured", filler()), 0
+        else:
+            g, m, b, y = 0, pick(f"{num(8)} {num(6)}", f"{num(8)}-{num(6)}", " ".join(f"{num(rng.integers(2, 4))}-{num(rng.integers(2, 4))}" for _ in range(rng.integers(2, 4))), " ".join(num(rng.integers(2, 6)) for _ in range(rng.integers(3, 7)))), pick("log", "lines", "range", "pages", filler()), 0
         rows.append(_row(g, m, f"{b} "))
         labels.append(float(y))
     return np.array(rows), np.array(labels)

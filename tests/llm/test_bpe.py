@@ -45,3 +45,16 @@ def test_query_and_edges(spark):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_every_code_point_splits_as_in_the_library():
+    """Alone, before a contraction, and after a letter, a digit and a space; code points that aren't assigned included."""
+    want, have = _reference(), bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(every), 16384):
+        own = [chr(c) for c in every[i : i + 16384]]
+        for context in ("{}", "{}'m", "a{}", "1{}", " {}"):
+            text = "!".join(map(context.format, own))
+            assert list(memoryview(have.encode(text)).cast("I")) == want.encode_ordinary(text), (hex(every[i]), context)
+    for text in ("\u0558'm", "\u0558\u058b\u0378", "a\u0558 \u0378b"):
+        assert list(memoryview(have.encode(text)).cast("I")) == want.encode_ordinary(text)

@@ -28,13 +28,13 @@ def test_held_out_accuracy(spark):
 
 
 def test_language_edges(spark):
-    rows = [(1, "the cat and the dog", "en"), (2, "le chat et la souris", "fr"), (3, None, "en"), (4, " 12 !?", "fr"), (5, "the " * 100_000, None), (None, "la", "fr"), (1, "the cat and the dog", "en")] * 6
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et la souris", "fr"), (3, None, "en"), (4, " 12 !?", "fr"), (5, "the " * 100_000, None), (6, "\u0558\u058b \u0378", None), (None, "la", "fr"), (1, "the cat and the dog", "en")] * 6
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as buckets")
     model = langid.fit(df)
     got = langid.predict(df, model).collect()
     assert len(got) == len(rows)
     for r in got:
-        if r.text is None or r.text == " 12 !?":
+        if r.text is None or r.text == " 12 !?" or r.doc_id == 6:  # code points that aren't assigned are no letters
             assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
         else:
             assert r.lang_pred == ("fr" if "la" in r.text.split() else "en") and 0 <= r.score <= 1

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import pii, queries
@@ -144,16 +145,72 @@ WRITTEN = [
 ]
 
 
-def test_trees_on_texts_written_apart(spark):
+#: Written after the last change of generators, features and examples.
+HELD = [
+    ("Our hotline: (800) 555-0142, day and night", ["(800) 555-0142"]),
+    ("ring the shop on 0161 496 0345", ["0161 496 0345"]),
+    ("Handy 0171 2345678 bis acht Uhr", ["0171 2345678"]),
+    ("tel. 03 87 65 43 21 le matin", ["03 87 65 43 21"]),
+    ("call 1.888.555.0177 now", ["1.888.555.0177"]),
+    ("phone 0044 20 7946 0991", ["0044 20 7946 0991"]),
+    ("My number is 312 555 0168, thanks", ["312 555 0168"]),
+    ("contact us by fax at 040/8765432", ["040/8765432"]),
+    ("the visa was 4929 1234 5678 9012 or so", ["4929 1234 5678 9012"]),
+    ("debit card 6011.1111.1111.1110", ["6011.1111.1111.1110"]),
+    ("e-mail olga [at] fernweh [dot] net", ["olga [at] fernweh [dot] net"]),
+    ("mail to b.king (at) lakeside.org please", ["b.king (at) lakeside.org"]),
+    ("write to peter at mill dot com", ["peter at mill dot com"]),
+    ("ipv6 2001:4860:4860::8888 answers", ["2001:4860:4860::8888"]),
+    ("the server is fd12:3456:789a:1::1", ["fd12:3456:789a:1::1"]),
+    ("2023-07-14 08:15:00 WARN disk full", []),
+    ("14.07.2023 08:15 Abfahrt", []),
+    ("from 2001 to 2005, 2007 2009 2011", []),
+    ("winners of 1987 1991 1995 were absent", []),
+    ("temperatures of 12 14 17 19 21 22 degrees", []),
+    ("batches of 1000 5000 20000 rows", []),
+    ("pixels 640 480 and 1920 1080 2160", []),
+    ("map at 48.8566 2.3522, zoom 11", []),
+    ("lat 51.5072 lon 10.1276", []),
+    ("He lived at Rome. Then at Pisa. Later he left.", []),
+    ("arrive at ten. Bring the book. Sit at home.", []),
+    ("lottery 03 14 22 31 40 45", []),
+    ("ISBN 0-306-40615-2 and 978 0 306 40615 7", []),
+    ("a budget of 12 500 000 and 3 200 000", []),
+    ("chapters 10-12 14-18 20-25", []),
+    ("parts 1234-5678-9012 in stock", []),
+    ("it ran from 10:15:00 to 11:45:30", []),
+    ("revision 20230714 101500 of the file", []),
+    ("use std::vector or a::b::c here", []),
+    ("set 5:4 6:3 7:5 in the final", []),
+    ("the sum 100 200 300 400", []),
+    ("seasons 1998-1999 1999-2000", []),
+    ("version 4.12.118 build 20419", []),
+    ("he said at last dot dot dot", []),
+    ("order 88 412 953 left the harbour", []),
+]
+
+
+@pytest.mark.parametrize(("texts", "precision", "recall"), [(WRITTEN, 0.95, 0.95), (HELD, 0.8, 0.8)])
+def test_trees_on_texts_written_apart(spark, texts, precision, recall):
     """Precision and recall of the added spans; the README gives them."""
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRITTEN)], "i int, text string")
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, text string")
     right = added = wanted = 0
     for r in pii.detect(df).collect():
         base = {(s.start, s.end) for s in r.base}
         found = {r.text[s.start : s.end] for s in r.spans if (s.start, s.end) not in base}
-        want = set(WRITTEN[r.i][1])
+        want = set(texts[r.i][1])
         right, added, wanted = right + len(found & want), added + len(found), wanted + len(want)
         if found != want:
             print(r.text, found)
     print(f"added spans: precision {right / max(1, added):.2f}, recall {right / wanted:.2f}")
-    assert right / max(1, added) >= 0.8 and right / wanted >= 0.7
+    assert right / max(1, added) >= precision and right / wanted >= recall
+
+
+def test_no_span_is_added_to_prose(spark):
+    """What base rules leave of documents is invented prose: nothing in it is personal."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = pii.detect(docs.select("doc_id", "text")).select("text", F.explode(F.array_except("spans", "base")).alias("s"))
+    assert [r.text[r.s.start : r.s.end] for r in more.collect()] == []
+    rows = ["2024-01-02 12:30:45 INFO", "logged at 2021.03.04 10:11:12", "the years 1998 1999 2000 2001", "2019-2020 2021-2022 season", "rows 1000 2000 3000", "scores 12 34 56 78 90", "coords 40.7128 74.0060", "thon at and. Thntes. Threin"]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    assert [r.text for r in pii.redact(df).collect()] == rows
