@@ -107,9 +107,8 @@ def answer(spark, args) -> str:
         return json.dumps(engine.status(), indent=2) if args.json else render.status_text(engine.status())
     if args.what == "issues":
         return render.json_document(engine.issues(), "issues") if args.json else render.issues_text(engine.issues())
-    files = library.read_files(spark, args.files) if args.files else None
-    found = documents.reports(files.where("lower(location) like '%.pdf'"), pdf.pages) if files is not None else None
-    run = build_index(store, items, embedder, files, found, force=args.force)
+    files = library.Files(spark, args.files) if args.files else None
+    run = build_index(store, items, embedder, files, lambda found: documents.reports(found, pdf.pages), force=args.force)
     if args.json:
         return json.dumps(vars(run), indent=2)
     return f"Done. {run.added} new or changed, {run.deleted} deleted, {run.retried} retried; {run.reindexed} indexed again. {run.item_count} items, {run.chunk_count} chunks."

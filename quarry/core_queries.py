@@ -14,6 +14,8 @@ from . import model
 from .functions import chunk, stem, text
 from .operators import catalog, embed, extract, hybrid, items, lexical, sync, vector
 from .operators.items import SearchFilters
+from .plans.engine import Engine
+from .plans.index import build_index
 from .plans.store import SnapshotStore
 from .session import scratch, spread
 
@@ -170,16 +172,22 @@ def bm25_multi_field(spark, sf_dir):
 
 def bm25_grammar(spark, sf_dir):
     c = _full_chunks(spark, sf_dir)
-    found, stats = lexical.postings(c), lexical.statistics(c)
     tree = lexical.parse('+the -que creators:src3^2 (of OR and)')
-    rounded = lexical.evaluate(tree, found, stats).select("chunk_id", F.round("score", 6).alias("score"))
+    rounded = lexical.evaluate(tree, lexical.wanted_postings(c, tree), lexical.statistics(c)).select("chunk_id", F.round("score", 6).alias("score"))
     return lexical.top(rounded, 30)
 
 
+def grammar_constructs(spark, sf_dir):
+    """A phrase with words between, a range, a set and a beginning."""
+    c = _full_chunks(spark, sf_dir)
+    tree = lexical.parse('+text:"of the"~2 text:[que TO quf} IN [der und] creators:"src1"*^2')
+    return lexical.evaluate(tree, lexical.wanted_postings(c, tree), lexical.statistics(c)).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 def phrase_query(spark, sf_dir):
     c = _full_chunks(spark, sf_dir)
     tree = lexical.parse('text:"of the"')
-    return lexical.evaluate(tree, lexical.postings(c, ["text"]), lexical.statistics(c, ["text"])).select("chunk_id", F.round("score", 6).alias("score"))
+    return lexical.evaluate(tree, lexical.wanted_postings(c, tree, fields=["text"]), lexical.statistics(c, ["text"])).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def stems(spark, sf_dir):
@@ -191,7 +199,7 @@ def bm25_stemmed(spark, sf_dir):
     """Keyword search as the index does it: stemmed terms in all fields, the query's grammar, every chunk that matches."""
     c = _full_chunks(spark, sf_dir)
     tree = lexical.parse("+documents the -que title:documents^2", stemming=True)
-    found = lexical.evaluate(tree, lexical.postings(c, stemming=True), lexical.statistics(c))
+    found = lexical.evaluate(tree, lexical.wanted_postings(c, tree, stemming=True), lexical.statistics(c))
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -337,17 +345,67 @@ def stored_snapshot(spark, sf_dir):
     return again.table("chunks").select("chunk_id", "item_key", F.md5("text").alias("text_md5"))
 
 
-def _listed(df):
-    """A small listing with the rank of each row in it."""
-    return df.coalesce(1).withColumn("rank", F.monotonically_increasing_id() + 1)
-
-
 def tags_ranked(spark, sf_dir):
-    return _listed(tags_list(spark, sf_dir))
+    return catalog.ranked(tags_list(spark, sf_dir), F.lower("tag"), F.col("tag"))
 
 
 def issues_ranked(spark, sf_dir):
-    return _listed(issues_list(spark, sf_dir)).select("rank", "key", "status")
+    return catalog.ranked(issues_list(spark, sf_dir), catalog.issue_rank(), F.col("key")).select("rank", "key", "status")
+
+
+def _works(spark, sf_dir):
+    """documents as regular items, and for each an attachment, a file of its text; kind: what becomes of it between two runs, by its label."""
+    d = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left")
+    kind = (
+        F.when(F.col("quality").isNull(), F.when(F.col("lang") == "fr", "lost").otherwise("same"))
+        .when(F.col("toxic") == 1, F.when(F.col("quality") == 1, "mended").otherwise("broken")).when(F.col("quality") == 1, "changed").otherwise("gone")
+    )
+    author = F.struct(F.lit("author").alias("creatorType"), F.lit("").alias("firstName"), F.lit("").alias("lastName"), F.concat(F.lit("Author "), F.col("source")).alias("name"))
+    return d.select(
+        _pad("doc_id").alias("item_key"), kind.alias("kind"), "text", F.concat(F.lit("/lib/"), _pad("doc_id"), F.lit(".pdf")).alias("location"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
+        F.array(author).alias("creators"), F.array("lang", "source").alias("tags"), F.array("source").alias("collections"), F.col("lang").alias("item_type"),
+    )
+
+
+def _state(works, later):
+    """Items, files and reports of a library at the first or the second run."""
+    if later:
+        works = works.where("kind <> 'gone'")
+    version = F.when(F.col("kind").isin("changed", "lost"), 2).otherwise(1) if later else F.lit(1)
+    empty = {f.split()[0]: F.lit("") for f in model.ITEMS.split(", ") if f.endswith(" string")} | {"extra": F.lit("{}")}
+    names = [f.split()[0] for f in model.ITEMS.split(", ") if "<" not in f and ":" not in f and ">" not in f] + ["creators", "tags", "collections"]
+    own = works.withColumn("version", version.cast("long"))
+    kids = own.select(F.concat("item_key", F.lit("A")).alias("item_key"), "version", F.col("item_key").alias("parent_item"), F.lit("attachment").alias("item_type"), F.lit("application/pdf").alias("content_type"), F.concat(F.lit("file://"), "location").alias("path"))
+    lists = {"creators": F.array().cast(own.schema["creators"].dataType), "tags": F.array().cast("array<string>"), "collections": F.array().cast("array<string>")}
+    filled = lambda df: df.withColumns({c: v for c, v in (empty | lists).items() if c not in df.columns}).select(*dict.fromkeys(names))
+    items = filled(own.drop("text", "kind", "location")).unionByName(filled(kids))
+    files = works.select("location", F.octet_length("text").cast("long").alias("size"), F.lit(None).cast("binary").alias("content"))
+    bad = F.col("kind").isin("broken", "lost") if later else F.col("kind").isin("broken", "mended")
+    body = F.when(F.col("kind") == "changed", F.concat(F.lit("x "), "text")).otherwise(F.col("text")) if later else F.col("text")
+    reports = works.select("location", F.lit(1).alias("page_count"), F.array().cast("array<int>").alias("failed_pages"), F.when(bad, "").otherwise(body).alias("text"), F.when(bad, "no trailer").alias("document_error"))
+    return items, files, reports
+
+
+def index_run(spark, sf_dir):
+    """Two runs of build_index over a store: between them items change, go, become readable and stop being readable; what a reopened store holds of each item."""
+    e, root, works = embed.HashingEmbedder(DIM), scratch(spark, "index"), _works(spark, sf_dir)
+    for later in (False, True):
+        items, files, reports = _state(works, later)
+        build_index(SnapshotStore(spark, root, e.name, e.dim), items, e, files, reports)
+    store = SnapshotStore(spark, root, e.name, e.dim)
+    c = store.table("chunks").groupBy("item_key").agg(F.count("*").alias("chunks"), F.md5(F.coalesce(F.max(F.when(F.col("chunk_type") == "metadata", F.col("fulltext"))), F.lit(""))).alias("text_md5"))
+    held = store.table("status").select("item_key", "status", "detail").join(store.table("versions"), "item_key", "full").join(c, "item_key", "full")
+    return held.select("item_key", "status", "detail", "version", "chunks", "text_md5")
+
+
+def engine_search(spark, sf_dir):
+    """The product's search over a built index: keywords in all fields and vectors, fused, a hit an item."""
+    e = embed.HashingEmbedder(DIM)
+    store = SnapshotStore(spark, scratch(spark, "index"), e.name, e.dim, stemming=False)
+    items, files, reports = _state(_works(spark, sf_dir).withColumn("kind", F.lit("same")), False)
+    build_index(store, items, e, files, reports)
+    found = Engine(store, e, items).search(TERMS, 10)
+    return found.select("key", "title", "creators", "item_type", F.round("score", 9).alias("score"), "char_start", "char_end", "chunk_type")
 
 
 def delete_items(spark, sf_dir):
@@ -364,7 +422,7 @@ def status_breakdown(spark, sf_dir):
 
 
 def issues_list(spark, sf_dir):
-    return catalog.issues(_status(spark, sf_dir), _meta_chunks(spark, sf_dir))
+    return catalog.issues(_status(spark, sf_dir), _all_meta_chunks(spark, sf_dir))
 
 
 def items_without_fulltext(spark, sf_dir):
@@ -391,7 +449,8 @@ def _people(spark, sf_dir):
         F.struct(F.lit("editor").alias("creatorType"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.col("s_name")).alias("firstName"), F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.concat(F.lit("Ltd "), F.col("s_nationkey").cast("string"))).alias("lastName"), F.lit(None).cast("string").alias("name")).alias("p"),
         F.col("s_suppkey").alias("k"),
     )
-    return c.unionByName(s).groupBy((F.col("k") % 50).alias("item")).agg(F.array_sort(F.collect_list("p")).alias("creators"))
+    # Thirty keys an item, whatever the size of the tables.
+    return c.unionByName(s).groupBy(F.floor(F.col("k") / 30).alias("item")).agg(F.array_sort(F.collect_list("p")).alias("creators"))
 
 
 def authors_list(spark, sf_dir):
@@ -458,9 +517,9 @@ def shortened(spark, sf_dir):
 
 QUERIES = [
     chunk_documents, chunk_stats, metadata_chunks, prefix_ownership, html_strip, html_outcome_fallback, html_readability, note_strip, clean_text, pdf_outcome,
-    tokenize_stats, postings, doc_frequency, bm25_top, bm25_filtered, bm25_per_item, bm25_multi_field, bm25_grammar, bm25_stemmed, phrase_query, stems,
+    tokenize_stats, postings, doc_frequency, bm25_top, bm25_filtered, bm25_per_item, bm25_multi_field, bm25_grammar, bm25_stemmed, grammar_constructs, phrase_query, stems,
     cosine_top, cosine_filtered, cosine_many, rrf_fusion, hybrid_search, hybrid_filtered, hybrid_reranked,
-    sync_diff, sync_counts, retry_keys, stale_no_attachment, untracked_keys, unchunked_keys, rebuild_versions, upsert_chunks, stored_snapshot, delete_items, change_hash,
+    sync_diff, sync_counts, retry_keys, stale_no_attachment, untracked_keys, unchunked_keys, rebuild_versions, upsert_chunks, stored_snapshot, index_run, engine_search, delete_items, change_hash,
     status_breakdown, issues_list, issues_ranked, tags_ranked, items_without_fulltext, index_counts, tags_list, tags_contains, authors_list, authors_contains, creators_strings,
     item_predicates, child_pick, pdf_paths, find_items, get_item, fulltext_slice, shortened,
 ]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, creators_string, display_name, fulltext_slice
 from ..model import ISSUE_ORDER, STATUSES
+from ..session import stored
 from .extract import first_pdf
 from .items import contains_ignoring_case, find_output, is_regular, item_output
 
@@ -113,6 +114,16 @@ def issues(status: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """df with rank, from 1, in this order: ranges are sorted apart, and a range's first rank is the sum of the counts before it."""
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("at_", 33)  # of the id: the partition, and below it the row's place there
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    firsts = rows.groupBy(part.alias("part_")).agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
+    placed = rows.withColumn("part_", part).join(F.broadcast(firsts), "part_")
+    return placed.withColumn("rank", F.col("first_") + F.col("at_").bitwiseAND((1 << 33) - 1) + 1).drop("part_", "at_", "first_")
+
+
 def without_fulltext(chunks: DataFrame) -> DataFrame:
     """Metadata chunks whose item has no full text."""
     return chunks.where((F.col("chunk_type") == "metadata") & (F.coalesce("fulltext", F.lit("")) == ""))

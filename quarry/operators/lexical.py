@@ -14,10 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import beginning as stem_beginning
 from ..functions.stem import stem, stemmed
 from ..functions.text import tokens
 
 K1 = 1.2
+#: Scores are rounded before they are ranked, so that the order of a sum decides no tie.
+DIGITS = 9
 B = 0.75
 FIELDS = ["text", "title", "creators"]
 
@@ -312,19 +315,80 @@ def _step(positions: Column, slop: int):
     return one
 
 
-def evaluate(tree, found: DataFrame, stats: DataFrame) -> DataFrame:
+def wanted_postings(chunks: DataFrame, tree, stemming: bool = False, fields: list[str] = FIELDS) -> DataFrame:
+    """The postings that a query tree reads, made from chunks: only its terms' tokens become rows.
+
+    A stemmed query is resolved to surface terms first: a word that has a stem begins as the stem does, but for its last two
+    letters, so only the corpus's distinct words with such beginnings are stemmed; those with a stem of the query go to
+    the texts as literals.
+    """
+    leaves = list(_leaves(tree))
+    if any(leaf.kind in ("range", "all") or leaf.prefix for leaf in leaves):
+        return postings(chunks, fields, stemming)  # terms that the query doesn't name
+    exact = sorted({t for leaf in leaves for t in leaf.terms})
+    if not stemming:
+        return postings_of(chunks, {t: t for t in exact}, fields)
+    begins = sorted({stem_beginning(t) for t in exact})
+    words = F.array_distinct(F.flatten(F.array(*[tokens(F.coalesce(f, F.lit(""))) for f in fields])))
+    near = F.filter(words, lambda w: _any([w.startswith(b) for b in begins]))
+    forms = stemmed(chunks.select(F.explode(near).alias("term")).distinct()).where(F.col("stem").isin(*exact))
+    return postings_of(chunks, {r.term: r.stem for r in forms.collect()}, fields)  # the surface forms of a query's stems
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def postings_of(chunks: DataFrame, forms: dict[str, str], fields: list[str] = FIELDS) -> DataFrame:
+    """postings() of some terms alone, by their surface forms: all else is left out before tokens become rows."""
+    if not forms:
+        return postings(chunks.limit(0), fields)
+    names = F.array(*[F.lit(w) for w in sorted(forms)])
+    stems = F.array(*[F.lit(forms[w]) for w in sorted(forms)])
+
+    def kept(terms: Column) -> Column:
+        placed = F.transform(terms, lambda w, i: F.struct(i.alias("position"), F.array_position(names, w).cast("int").alias("n")))
+        own = F.transform(F.filter(placed, lambda x: x["n"] > 0), lambda x: F.struct(x["position"].alias("position"), F.element_at(stems, x["n"]).alias("term")))
+        return F.struct(F.size(terms).alias("len"), own.alias("own"))
+
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.transform(F.array(tokens(F.coalesce(f, F.lit("")))), kept)[0].alias("x")) for f in fields]))
+    flat = chunks.select("chunk_id", "item_key", each.alias("f")).select("chunk_id", "item_key", "f.field", "f.x.len", F.explode("f.x.own").alias("o"))
+    counted = flat.groupBy("field", F.col("o.term").alias("term"), "chunk_id").agg(F.first("item_key").alias("item_key"), F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("o.position")).alias("positions"))
+    return counted.select("field", "term", "chunk_id", "item_key", "tf", "len", "positions")
+
+
+#: Up to so many terms of a range or with a beginning go to the postings' scan as literals.
+EXPANDED = 1000
+
+
+def expand(tree, terms: DataFrame) -> None:
+    """Ranges and beginnings as sets of the dictionary's terms (field, term, df), where they are few; they match the same chunks."""
+    for leaf in _leaves(tree):
+        if leaf.kind == "range" or leaf.prefix and len(leaf.terms) == 1:
+            own = [r.term for r in terms.where(leaf.matches()).select("term").distinct().limit(EXPANDED + 1).collect()]
+            if len(own) <= EXPANDED:
+                leaf.kind, leaf.terms, leaf.prefix, leaf.phrase = "set", sorted(own), False, False
+
+
+def evaluate(tree, found: DataFrame, stats: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(chunk_id, score) of a query tree: sums over clauses that match, all 'must' present and no 'not'.
 
-    The postings of all the query's terms are read together and grouped by chunk once, whatever the number of clauses; a
-    first pass over the same postings counts the document frequencies.
+    The postings of all the query's terms are read together and grouped by chunk once, whatever the number of clauses. Document
+    frequencies come from a dictionary (field, term, df), if there is one; else from a first pass over the same postings.
     """
     leaves = list(_leaves(tree))
+    if terms is not None:
+        expand(tree, terms)
     wanted = leaves[0].matches()
     for leaf in leaves[1:]:
         wanted = wanted | leaf.matches()
     some = found.where(wanted)
     exact = sorted({t for leaf in leaves for t in leaf.scored()})
-    df = document_frequency(some.where(F.col("term").isin(*exact)) if exact else some.limit(0))
+    counted = terms if terms is not None else document_frequency(some)
+    df = counted.where(F.col("term").isin(*exact)).select("field", "term", "df")
     rows = some.join(F.broadcast(stats), "field").join(F.broadcast(df), ["field", "term"], "left")  # df: a row for each term and field
     rows = rows.withColumn("idf", idf(F.col("n"), F.col("df")))
     weight = bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))
@@ -364,11 +428,16 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score")
     return scored.orderBy(F.col(score).desc(), key).limit(k)
 
 
-def search(chunks: DataFrame, query: str, k: int, filters=None, found: DataFrame | None = None, stats: DataFrame | None = None, stemming: bool = True) -> DataFrame:
-    """(chunk_id, score): the k best chunks that match the query and pass the filters; statistics are the whole corpus's."""
-    found = postings(chunks, stemming=stemming) if found is None else found
+def search(chunks: DataFrame, query: str, k: int, filters=None, found: DataFrame | None = None, stats: DataFrame | None = None, stemming: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score): the k best chunks that match the query and pass the filters; statistics are the whole corpus's.
+
+    found, stats and terms are an index's postings, field statistics and dictionary; without them they are made of the chunks.
+    """
+    tree = parse(query, stemming=stemming)
+    if found is None:
+        found = wanted_postings(chunks, tree, stemming)
     stats = statistics(chunks) if stats is None else stats
-    scored = evaluate(parse(query, stemming=stemming), found, stats)
+    scored = evaluate(tree, found, stats, terms)
     if filters is not None and filters.any():
         scored = scored.join(filters.apply(chunks).select("chunk_id"), "chunk_id", "left_semi")
-    return top(scored, k)
+    return top(scored.select("chunk_id", F.round("score", DIGITS).alias("score")), k)

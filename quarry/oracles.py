@@ -68,8 +68,8 @@ _STALE = "SELECT item_key FROM status WHERE status = 'no-attachment' AND status_
 _UNTRACKED = "SELECT item_key FROM metas WHERE fulltext = '' AND item_key NOT IN (SELECT item_key FROM status)"
 _UNCHUNKED = "SELECT item_key FROM local WHERE item_key NOT IN (SELECT item_key FROM metas)"
 
-_PEOPLE = """WITH people AS (SELECT c_custkey % 50 AS item, 'author' AS role, c_name AS name FROM customer
-  UNION ALL SELECT s_suppkey % 50, 'editor', CASE WHEN s_suppkey % 20 = 0 THEN '' WHEN s_suppkey % 4 = 0 THEN 'Ltd ' || s_nationkey WHEN s_suppkey % 5 = 0 THEN s_name
+_PEOPLE = """WITH people AS (SELECT c_custkey // 30 AS item, 'author' AS role, c_name AS name FROM customer
+  UNION ALL SELECT s_suppkey // 30, 'editor', CASE WHEN s_suppkey % 20 = 0 THEN '' WHEN s_suppkey % 4 = 0 THEN 'Ltd ' || s_nationkey WHEN s_suppkey % 5 = 0 THEN s_name
     ELSE 'Ltd ' || s_nationkey || ', ' || s_name END FROM supplier)"""
 _LIBRARY = """WITH lib AS (SELECT conv_id || '-' || turn AS item_key, CASE WHEN turn % 3 = 0 THEN '' ELSE CAST(conv_id AS VARCHAR) END AS parent, turn AS place,
   CASE WHEN role = 'user' THEN 'note' WHEN turn % 2 = 0 THEN 'annotation' ELSE 'attachment' END AS t,
@@ -150,7 +150,7 @@ ORACLES = {
     "change_hash": "SELECT doc_id, md5(coalesce(text, '')) AS text_hash FROM documents",
     "status_breakdown": f"""{_REMOTE} SELECT status, count(*) AS count FROM status GROUP BY 1 UNION ALL
       SELECT 'unknown', n FROM (SELECT (SELECT count(*) FROM items) - (SELECT count(*) FROM status) AS n) WHERE n > 0""",
-    "issues_list": f"{_REMOTE} SELECT s.item_key AS key, coalesce(m.title, '') AS title, status, detail FROM status s LEFT JOIN metas m USING (item_key) WHERE status <> 'ok'",
+    "issues_list": f"{_REMOTE} SELECT s.item_key AS key, coalesce(m.title, '') AS title, status, detail FROM status s LEFT JOIN every m USING (item_key) WHERE status <> 'ok'",
     "items_without_fulltext": f"{_REMOTE} SELECT item_key, title FROM every WHERE fulltext = ''",
     "index_counts": f"""WITH {CHUNKS} SELECT (SELECT count(*) FROM items) AS item_count, (SELECT count(*) FROM items) + (SELECT count(*) FROM chunks) AS chunk_count,
       CAST((SELECT sum(length(text)) FROM chunks) + (SELECT sum(length(title || chr(10) || creators || chr(10) || array_to_string(tags, ', '))) FROM items) AS BIGINT) AS chars""",
@@ -173,6 +173,39 @@ ORACLES = {
       substring(text, 101, least(900, length(text), 600) - 100) AS part FROM documents WHERE length(text) > 100""",
     "shortened": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS snippet FROM documents",
 }
+ORACLES["grammar_constructs"] = rf"""WITH {CHUNKS}, f AS (SELECT chunk_id, 'text' AS field, text AS t FROM chunks UNION ALL SELECT chunk_id, 'title', title FROM chunks UNION ALL SELECT chunk_id, 'creators', creators FROM chunks),
+  toks AS (SELECT chunk_id, field, [z FOR z IN regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') IF strlen(z) < 40] AS w FROM f),
+  k AS (SELECT count(*) AS n, avg(len(w)) AS avg_len, count(*) FILTER (list_contains(w, 'of')) AS d1, count(*) FILTER (list_contains(w, 'the')) AS d2 FROM toks WHERE field = 'text'),
+  p AS (SELECT chunk_id, len(w) AS len, len([i FOR i IN range(1, len(w)) IF w[i] = 'of' AND len([j FOR j IN range(i + 1, i + 4) IF j <= len(w) AND w[j] = 'the']) > 0]) AS tf FROM toks WHERE field = 'text'),
+  g AS (SELECT chunk_id, CAST(bool_or(field = 'text' AND len([x FOR x IN w IF x >= 'que' AND x < 'quf']) > 0) AS INTEGER) AS a, CAST(bool_or(list_contains(w, 'der') OR list_contains(w, 'und')) AS INTEGER) AS b,
+    CAST(bool_or(field = 'creators' AND len([x FOR x IN w IF starts_with(x, 'src1')]) > 0) AS INTEGER) AS c FROM toks GROUP BY 1)
+  SELECT chunk_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) + a + b + 2 * c, 6) AS score
+  FROM p JOIN g USING (chunk_id), k WHERE tf > 0"""
+
+_WORKS = """works AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS item_key, text, CASE WHEN quality IS NULL THEN CASE WHEN lang = 'fr' THEN 'lost' ELSE 'same' END
+  WHEN toxic = 1 THEN CASE WHEN quality = 1 THEN 'mended' ELSE 'broken' END WHEN quality = 1 THEN 'changed' ELSE 'gone' END AS kind FROM documents LEFT JOIN labels USING (doc_id))"""
+ORACLES["index_run"] = f"""WITH {_WORKS}, held AS (SELECT *, CASE kind WHEN 'broken' THEN '' WHEN 'changed' THEN 'x ' || text ELSE text END AS t FROM works WHERE kind <> 'gone')
+  SELECT item_key, CASE WHEN kind IN ('broken', 'lost') THEN 'failed' ELSE 'ok' END AS status, CASE WHEN kind IN ('broken', 'lost') THEN 'malformed PDF: no trailer' ELSE '' END AS detail,
+    CAST(CASE WHEN kind IN ('changed', 'lost') THEN 2 ELSE 1 END AS BIGINT) AS version, 1 + CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1500 THEN 1 ELSE 1 + CAST(ceil((length(t) - 1500) / 1300.0) AS BIGINT) END AS chunks,
+    md5(t) AS text_md5 FROM held"""
+
+_INDEXED = rf"""WITH {CHUNKS}, every AS (SELECT chunk_id, item_key, chunk_type, char_start, char_end, text, title, creators, item_type FROM chunks
+  UNION ALL SELECT item_key || '_meta', item_key, 'metadata', 0, 0, title || chr(10) || creators || chr(10) || array_to_string(tags, ', '), title, creators, item_type FROM items),
+f AS (SELECT chunk_id, 'text' AS field, text AS t FROM every UNION ALL SELECT chunk_id, 'title', title FROM every UNION ALL SELECT chunk_id, 'creators', creators FROM every),
+toks AS (SELECT chunk_id, field, [z FOR z IN regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') IF strlen(z) < 40] AS w FROM f),
+stats AS (SELECT field, count(*) AS n, avg(len(w)) AS avg_len FROM toks GROUP BY 1),
+post AS (SELECT chunk_id, field, term, len(w) AS len, len([x FOR x IN w IF x = term]) AS tf FROM toks, (SELECT unnest({TERMS.split()}) AS term)),
+dfs AS (SELECT field, term, count(*) AS df FROM post WHERE tf > 0 GROUP BY 1, 2),
+a AS (SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+  FROM post JOIN dfs USING (field, term) JOIN stats USING (field) WHERE tf > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50),
+bins AS (SELECT chunk_id, b, count(*) AS n FROM (SELECT chunk_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {DIM} AS b
+  FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM every)) GROUP BY 1, 2), q AS (SELECT unnest({_COUNTS}) AS qn, unnest(range({DIM})) AS b),
+b AS (SELECT chunk_id, round(coalesce(dot, 0) / (norm * (SELECT sqrt(sum(qn * qn)) FROM q)), 9) AS score FROM (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM bins GROUP BY 1)
+  LEFT JOIN (SELECT chunk_id, sum(n * qn) AS dot FROM bins JOIN q USING (b) GROUP BY 1) USING (chunk_id) ORDER BY 2 DESC, 1 LIMIT 50),
+ranked AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM a UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) FROM b),
+fused AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM ranked GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)"""
+ORACLES["engine_search"] = f"""{_INDEXED} SELECT item_key AS key, title, creators, item_type, round(score, 9) AS score, char_start, char_end, chunk_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, chunk_id) AS k FROM fused JOIN every USING (chunk_id)) WHERE k = 1 ORDER BY score DESC, key LIMIT 10"""
 # The same rows by another way.
 ORACLES["stored_snapshot"] = ORACLES["upsert_chunks"]
 ORACLES["tags_ranked"] = f"SELECT *, row_number() OVER (ORDER BY lower(tag), tag) AS rank FROM ({ORACLES['tags_list']})"

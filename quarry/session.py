@@ -59,6 +59,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what made it isn't run again, and it outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release() -> None:
     """Delete the intermediate tables of this process. Results that still read them must have been written before."""
     for folder, spark in list(_FOLDERS.items()):

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import build_index
+from ..plans.index import Reports, build_index
 from ..plans.store import SnapshotStore
-from ..sources.library import parse_items
+from ..sources.library import Files, parse_items
 
 
 def latest(items: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def latest(items: DataFrame) -> DataFrame:
     return items.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
 
 
-def index_batch(store: SnapshotStore, embedder, batch: DataFrame, files: DataFrame | None = None, reports: DataFrame | None = None):
+def index_batch(store: SnapshotStore, embedder, batch: DataFrame, files: Files | DataFrame | None = None, reports: Reports | None = None):
     """One micro-batch: known items count as still there."""
     items = latest(batch)
     known = store.table("versions").join(items.select("item_key"), "item_key", "left_anti")
@@ -30,7 +30,7 @@ def index_batch(store: SnapshotStore, embedder, batch: DataFrame, files: DataFra
     return build_index(store, empty.unionByName(items).unionByName(others, allowMissingColumns=True), embedder, files, reports)
 
 
-def index_stream(spark: SparkSession, path: str, store: SnapshotStore, embedder, checkpoint: str, files: DataFrame | None = None, reports: DataFrame | None = None):
+def index_stream(spark: SparkSession, path: str, store: SnapshotStore, embedder, checkpoint: str, files: Files | DataFrame | None = None, reports: Reports | None = None):
     """Index the JSON lines that have arrived below path since the last call, then stop; returns the query."""
 
     def each(batch: DataFrame, _: int) -> None:

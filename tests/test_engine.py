@@ -138,7 +138,7 @@ def test_segments_grow_with_the_change_and_merge(spark, lib, tmp_path, monkeypat
     from quarry.plans import store as module
 
     source, pages, reports, root = lib
-    many = "\n".join(_record(f"N{i:04d}", 1, itemType="note", note=f"<p>{LONG} {i}</p>") for i in range(40))
+    many = "\n".join(_record(f"N{i:04d}", 1, itemType="note", note=f"<p>{LONG} {i}</p>") for i in range(300))  # beside which the fixed size of small files is little
     (source / "3.json").write_text(many)
     _build(spark, lib)
     folder = tmp_path / "index"
@@ -148,7 +148,7 @@ def test_segments_grow_with_the_change_and_merge(spark, lib, tmp_path, monkeypat
     assert (run.added, run.reindexed) == (1, 1)
     new = {p.name for p in folder.iterdir() if p.name.startswith("segment-")} - first
     assert len(store.segments) == 2 and _bytes(folder, new) < 0.5 * _bytes(folder, first)
-    monkeypatch.setattr(module, "COMPACT", 2)
+    monkeypatch.setattr(module, "newest_to_merge", len)
     (source / "4.json").write_text(_record("ONE", 3, itemType="note", note="merged"))
     store, _, _ = _build(spark, lib)
     assert len(store.segments) == 1 and store.table("chunks").where("item_key = 'ONE' and chunk_type = 'fulltext'").first().text == "merged"
@@ -157,9 +157,9 @@ def test_segments_grow_with_the_change_and_merge(spark, lib, tmp_path, monkeypat
     whole = SnapshotStore(spark, str(tmp_path / "whole"), "hashing-16", 16)
     build_index(whole, library.read_items(spark, str(source)), HashingEmbedder(16), library.read_files(spark, str(pages)), reports)
     rows = lambda s, t: sorted(str(r) for r in s.table(t).collect())
-    for t in ("chunks", "status", "versions", "skipped", "postings", "stats"):
+    for t in ("chunks", "status", "versions", "skipped", "postings", "terms", "stats"):
         assert rows(store, t) == rows(whole, t), t
-    assert store.table("meta").first()[5:] == whole.table("meta").first()[5:]
+    assert store.table("meta").first()[6:] == whole.table("meta").first()[6:]
 
 
 class _Failing(HashingEmbedder):
@@ -206,3 +206,51 @@ def test_batch_embedder(spark):
     assert [r.v for r in df.select(e.column("t").alias("v")).collect()] == [[1.0], [3.0], [0.0]] and e.one("xx") == [2.0]
     h = HashingEmbedder(16)
     assert spark.createDataFrame([("A b a",)], "t string").select(h.column("t").alias("v")).first().v == h.one("a B a")
+
+
+def test_a_run_opens_only_the_files_it_needs(spark, tmp_path):
+    """What one changed item needs is opened; all other files have been deleted since they were listed."""
+    source, pages = tmp_path / "items", tmp_path / "pages"
+    source.mkdir()
+    pages.mkdir()
+    for n in range(6):
+        (pages / f"a [{n}] {{x}}.html").write_text(f"<p>{LONG} number {n}</p>")
+        (pages / f"d{n}.pdf").write_bytes(f"words of {n}".encode())
+
+    def records(version):
+        out = []
+        for n in range(6):
+            v = version if n == 2 else 1
+            out += [_record(f"H{n}", v, itemType="book", title=f"page {n} {v}"), _record(f"H{n}A", 1, itemType="attachment", parentItem=f"H{n}", contentType="text/html", path=f"file://{pages}/a%20%5B{n}%5D%20%7Bx%7D.html")]
+            out += [_record(f"P{n}", v, itemType="book", title=f"file {n} {v}"), _record(f"P{n}A", 1, itemType="attachment", parentItem=f"P{n}", contentType="application/pdf", path=f"file://{pages}/d{n}.pdf")]
+        return "\n".join(out)
+
+    def read(found):
+        return found.select("location", F.lit(1).alias("page_count"), F.array().cast("array<int>").alias("failed_pages"), F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("document_error"))
+
+    (source / "1.json").write_text(records(1))
+    store = SnapshotStore(spark, str(tmp_path / "index"), "hashing-16", 16)
+    files = library.Files(spark, str(pages))
+    run = lambda f: build_index(store, library.read_items(spark, str(source)), HashingEmbedder(16), f, read)
+    assert run(files).added == 12
+    assert {r.status for r in store.table("status").collect()} == {"ok"}
+
+    class Listed(library.Files):
+        """Lists what was there before most files went."""
+
+        def listing(self):
+            return before
+
+    before = spark.createDataFrame(files.listing().collect(), "location string, size long")
+    kept = {"a [2] {x}.html", "d2.pdf"}
+    for f in pages.iterdir():
+        if f.name not in kept:
+            f.unlink()
+    (source / "1.json").write_text(records(2))
+    again = run(Listed(spark, str(pages)))
+    assert (again.added, again.unchanged + again.reindexed) == (2, 2)
+    assert {r.item_key for r in store.table("status").where("status <> 'ok'").collect()} == set()
+    # A file that went after it was listed: the others are read all the same.
+    wanted = spark.createDataFrame([(f"{pages}/d2.pdf",), (f"{pages}/d1.pdf",)], "location string")
+    assert [r.location for r in files.contents(wanted).collect()] == [f"{pages}/d2.pdf"]
+    assert files.contents(wanted.limit(0)).count() == 0 and "content" not in files.listing().columns
