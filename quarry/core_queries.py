@@ -334,14 +334,14 @@ def stored_snapshot(spark, sf_dir):
     """upsert_chunks by a store: all chunks are committed, then those of every fifth item are replaced; what a reopened store holds."""
     empty = [F.lit(None).cast(t).alias(c) for c, t in (f.split(" ", 1) for f in model.CHUNKS.split(", ")) if c not in ("chunk_id", "item_key", "chunk_type", "i", "char_start", "char_end", "text")]
     root = scratch(spark, "index")
-    store = SnapshotStore(spark, root, "none", 0, force=True)
+    store = SnapshotStore(spark, root, "none", 0, worded=False)
     store.commit(chunks=(None, _full_chunks(spark, sf_dir).select("chunk_id", "item_key", "chunk_type", "i", "char_start", "char_end", "text", *empty)))
     changed = _documents(spark, sf_dir).where("cast(item_key as long) % 5 = 0").withColumn("fulltext", F.concat(F.lit("x"), "fulltext"))
     new = chunk.fulltext_chunks(changed, "item_key", "fulltext", 1000, 0).select("chunk_id", "item_key", "chunk_type", "i", "char_start", "char_end", "text", *empty)
     store.commit(chunks=(changed, new))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")  # there are no vectors here
-        again = SnapshotStore(spark, root, "none", 0)
+        again = SnapshotStore(spark, root, "none", 0, worded=False)
     return again.table("chunks").select("chunk_id", "item_key", F.md5("text").alias("text_md5"))
 
 

@@ -78,6 +78,7 @@ def search(
     stemming: bool = True,
     compat_threshold: bool = False,
     terms: DataFrame | None = None,
+    tops: DataFrame | None = None,
 ) -> DataFrame:
     """The best chunk of each of at most `limit` items, with all its columns and score.
 
@@ -86,7 +87,7 @@ def search(
     less; where that leaves nothing, the fused hits come out as they would without a reranker.
     """
     k = OVERFETCH * limit
-    words = lexical.search(chunks, query, k, filters, found, stats, stemming, terms)
+    words = lexical.search(chunks, query, k, filters, found, stats, stemming, terms, tops)
     dense = vector.search(chunks, query_vector, k, filters)
     fused = lexical.top(fuse(words, dense), k)
     # At most 5 * limit rows: their ids go to the scan as literals, which skip what an index sorted by chunk_id keeps apart.

@@ -1,9 +1,13 @@
 """Keyword search: postings, corpus statistics, a query grammar, and BM25.
 
-Postings are a table (field, term, chunk_id, item_key, tf, len, positions), kept in the index in ranges of terms and
+Postings are a table (field, term, chunk_id, item_key, tf, len, positions, zone), kept in the index in ranges of terms and
 sorted, so that a query's terms, which reach the scan as literals, skip all other row groups; a frequent term spans
 several ranges. Statistics are corpus-wide: chunks, average field lengths, document frequencies. Scores are sums grouped
 by chunk.
+
+A zone is a few thousand chunks that lie together in an index. Its peaks, (field, term, zone, most, least), are the largest count of
+a term there and the shortest field: with the statistics of the day they bound what any chunk of the zone can score. A
+search for the k best scores the most promising zones first, and then only those whose bound reaches the k-th best.
 """
 
 from __future__ import annotations
@@ -36,7 +40,8 @@ def terms_of(text: str, stemming: bool = False, long: int = 40) -> list[str]:
 def occurrences(chunks: DataFrame, fields: list[str] = FIELDS, stemming: bool = False) -> DataFrame:
     """(field, chunk_id, item_key, len, term, position): one row a token. Stems come from the distinct terms."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("terms")) for f in fields]))
-    flat = chunks.select("chunk_id", "item_key", each.alias("x")).select("chunk_id", "item_key", "x.field", F.size("x.terms").alias("len"), F.posexplode("x.terms").alias("position", "term"))
+    flat = chunks.select("chunk_id", "item_key", _zone(chunks), each.alias("x"))
+    flat = flat.select("chunk_id", "item_key", "zone", "x.field", F.size("x.terms").alias("len"), F.posexplode("x.terms").alias("position", "term"))
     if not stemming:
         return flat
     stems = stemmed(flat.select("term").distinct())
@@ -44,17 +49,26 @@ def occurrences(chunks: DataFrame, fields: list[str] = FIELDS, stemming: bool =
 
 
 def postings(chunks: DataFrame, fields: list[str] = FIELDS, stemming: bool = False) -> DataFrame:
-    """(field, term, chunk_id, item_key, tf, len, positions)."""
+    """(field, term, chunk_id, item_key, tf, len, positions, zone); zone is the chunks', or null."""
     found = occurrences(chunks, fields, stemming)
     counted = found.groupBy("field", "term", "chunk_id").agg(
-        F.first("item_key").alias("item_key"), F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("position")).alias("positions")
+        F.first("item_key").alias("item_key"), F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("zone").alias("zone")
     )
-    return counted.select("field", "term", "chunk_id", "item_key", "tf", "len", "positions")
+    return counted.select("field", "term", "chunk_id", "item_key", "tf", "len", "positions", "zone")
+
+
+def _zone(chunks: DataFrame) -> Column:
+    return F.col("zone") if "zone" in chunks.columns else F.lit(None).cast("long").alias("zone")
+
+
+def peaks(found: DataFrame) -> DataFrame:
+    """(field, term, zone, most, least) of postings."""
+    return found.groupBy("field", "term", "zone").agg(F.max("tf").alias("most"), F.min("len").alias("least"))
 
 
 def ranged(found: DataFrame) -> DataFrame:
     """Postings in the order in which an index keeps them."""
-    return found.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "field")
+    return found.repartitionByRange("term", "zone", "chunk_id").sortWithinPartitions("term", "zone", "field")
 
 
 def statistics(chunks: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
@@ -355,9 +369,9 @@ def postings_of(chunks: DataFrame, forms: dict[str, str], fields: list[str] = FI
         return F.struct(F.size(terms).alias("len"), own.alias("own"))
 
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.transform(F.array(tokens(F.coalesce(f, F.lit("")))), kept)[0].alias("x")) for f in fields]))
-    flat = chunks.select("chunk_id", "item_key", each.alias("f")).select("chunk_id", "item_key", "f.field", "f.x.len", F.explode("f.x.own").alias("o"))
-    counted = flat.groupBy("field", F.col("o.term").alias("term"), "chunk_id").agg(F.first("item_key").alias("item_key"), F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("o.position")).alias("positions"))
-    return counted.select("field", "term", "chunk_id", "item_key", "tf", "len", "positions")
+    flat = chunks.select("chunk_id", "item_key", _zone(chunks), each.alias("f")).select("chunk_id", "item_key", "zone", "f.field", "f.x.len", F.explode("f.x.own").alias("o"))
+    counted = flat.groupBy("field", F.col("o.term").alias("term"), "chunk_id").agg(F.first("item_key").alias("item_key"), F.count("*").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("o.position")).alias("positions"), F.first("zone").alias("zone"))
+    return counted.select("field", "term", "chunk_id", "item_key", "tf", "len", "positions", "zone")
 
 
 #: Up to so many terms of a range or with a beginning go to the postings' scan as literals.
@@ -403,24 +417,76 @@ def evaluate(tree, found: DataFrame, stats: DataFrame, terms: DataFrame | None =
         sums.append(part.alias(f"leaf{i}"))
     by = rows.groupBy("chunk_id").agg(*sums)
     values = iter([_phrase(leaf, F.col(f"leaf{i}")) if not leaf.fixed() and len(leaf.terms) > 1 else F.col(f"leaf{i}") for i, leaf in enumerate(leaves)])
+    return by.select("chunk_id", _value(tree, values).alias("score")).where("score is not null")
 
-    def value(node) -> Column:
-        """The score of a node, null where it doesn't match."""
-        if isinstance(node, Term):
-            return next(values)
-        parts = [(how, value(child)) for how, child in node.clauses]
-        good, total, any_of = F.lit(True), F.lit(0.0), F.lit(False)
-        for how, v in parts:
-            if how == "not":
-                good = good & v.isNull()
-                continue
-            total = total + F.coalesce(v, F.lit(0.0))
-            any_of = any_of | v.isNotNull()
-            if how == "must":
-                good = good & v.isNotNull()
-        return F.when(good & any_of, total * node.boost)
 
-    return by.select("chunk_id", value(tree).alias("score")).where("score is not null")
+def _value(node, values, bound: bool = False) -> Column:
+    """The score of a node, null where it doesn't match, from its leaves' in turn; or a bound on it, for which what must not occur doesn't count."""
+    if isinstance(node, Term):
+        return next(values)
+    parts = [(how, _value(child, values, bound)) for how, child in node.clauses]
+    good, total, any_of = F.lit(True), F.lit(0.0), F.lit(False)
+    for how, v in parts:
+        if how == "not":
+            good = good if bound else good & v.isNull()
+            continue
+        total = total + F.coalesce(v, F.lit(0.0))
+        any_of = any_of | v.isNotNull()
+        if how == "must":
+            good = good & v.isNotNull()
+    return F.when(good & any_of, total * node.boost)
+
+
+#: Zones that are scored first, to learn what the k-th best is at least.
+FIRST = 16
+
+
+def bounds(tree, tops: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """(zone, bound): zones where a chunk may match, and what it can score at most."""
+    leaves = list(_leaves(tree))
+    own = sorted({t for leaf in leaves for t in leaf.terms})
+    df = terms.where(F.col("term").isin(*own)).select("field", "term", "df")
+    rows = tops.where(F.col("term").isin(*own)).join(F.broadcast(stats), "field").join(F.broadcast(df), ["field", "term"])  # df: a row for each term and field
+    weight = idf(F.col("n"), F.col("df"))
+    most = bm25(weight, F.col("most"), F.col("least"), F.col("avg_len"))
+    sums = []
+    for i, leaf in enumerate(leaves):
+        if leaf.fixed():
+            part = F.max(F.when(leaf.matches(), F.lit(leaf.boost)))
+        elif len(leaf.terms) > 1:  # as if the phrase came without end
+            part = F.sum(F.when(leaf.matches(), leaf.boost * weight * (K1 + 1)))
+        else:
+            part = F.sum(F.when(leaf.matches(), leaf.boost * most))
+        sums.append(part.alias(f"leaf{i}"))
+    by = rows.groupBy("zone").agg(*sums)
+    return by.select("zone", _value(tree, iter([F.col(f"leaf{i}") for i in range(len(leaves))]), bound=True).alias("bound")).where("bound is not null")
+
+
+def best(tree, k: int, found: DataFrame, stats: DataFrame, terms: DataFrame, tops: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score): the k best of evaluate(), by zones: the most promising first, then those whose bound reaches the k-th best so far."""
+    expand(tree, terms)
+
+    def scored(zones: DataFrame | list[int]) -> DataFrame:
+        some = found.where(F.col("zone").isin(*zones)) if isinstance(zones, list) else found.join(zones, "zone", "left_semi")
+        rows = evaluate(tree, some, stats, terms)
+        rows = rows if allowed is None else rows.join(allowed, "chunk_id", "left_semi")
+        return rows.select("chunk_id", F.round("score", DIGITS).alias("score"))
+
+    if any(leaf.kind in ("range", "all") or leaf.prefix for leaf in _leaves(tree)):  # terms that aren't known by name
+        rows = evaluate(tree, found, stats, terms)
+        rows = rows if allowed is None else rows.join(allowed, "chunk_id", "left_semi")
+        return top(rows.select("chunk_id", F.round("score", DIGITS).alias("score")), k)
+    limit = bounds(tree, tops, stats, terms).persist()
+    first = [r.zone for r in limit.orderBy(F.col("bound").desc(), "zone").limit(FIRST).collect()]
+    sure = top(scored(first), k).collect() if first else []  # k rows
+    least = sure[-1].score if len(sure) == k else 0.0
+    rest = limit.where(~F.col("zone").isin(*first) & (F.col("bound") >= least - 10.0**-DIGITS)).select("zone")
+    few = [r.zone for r in rest.limit(EXPANDED + 1).collect()]
+    held = found.sparkSession.createDataFrame([tuple(r) for r in sure], "chunk_id string, score double")
+    limit.unpersist()
+    if not few:
+        return top(held, k)
+    return top(held.unionByName(scored(few if len(few) <= EXPANDED else rest)), k)
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -428,12 +494,15 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score")
     return scored.orderBy(F.col(score).desc(), key).limit(k)
 
 
-def search(chunks: DataFrame, query: str, k: int, filters=None, found: DataFrame | None = None, stats: DataFrame | None = None, stemming: bool = True, terms: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: str, k: int, filters=None, found: DataFrame | None = None, stats: DataFrame | None = None, stemming: bool = True, terms: DataFrame | None = None, tops: DataFrame | None = None) -> DataFrame:
     """(chunk_id, score): the k best chunks that match the query and pass the filters; statistics are the whole corpus's.
 
-    found, stats and terms are an index's postings, field statistics and dictionary; without them they are made of the chunks.
+    found, stats, terms and tops are an index's postings, field statistics, dictionary and peaks; without them they are made of the chunks.
     """
     tree = parse(query, stemming=stemming)
+    if tops is not None:
+        allowed = filters.apply(chunks).select("chunk_id") if filters is not None and filters.any() else None
+        return best(tree, k, found, stats, terms, tops, allowed)
     if found is None:
         found = wanted_postings(chunks, tree, stemming)
     stats = statistics(chunks) if stats is None else stats

@@ -23,8 +23,8 @@ class Engine:
         if chunks.isEmpty():
             raise EmptyIndex("the index is empty; run build_index first")
         chunks = vector.check_dimension(chunks, self.embedder.dim)
-        found, stats, terms = (self.store.table(t) for t in ("postings", "stats", "terms"))
-        hits = hybrid.search(chunks, query, self.embedder.one(query), limit, filters, reranker, found, stats, self.store.stemming, terms=terms)
+        found, stats, terms, tops = (self.store.table(t) for t in ("postings", "stats", "terms", "peaks"))
+        hits = hybrid.search(chunks, query, self.embedder.one(query), limit, filters, reranker, found, stats, self.store.stemming, terms=terms, tops=tops)
         return hybrid.search_output(hits)
 
     def sync_note(self) -> str | None:
