@@ -8,7 +8,10 @@ descending length, pruned by the waste that remains at best, with the best-fit-d
 incumbent. Dominated completions aren't enumerated where that can be told at once: of the pieces after which nothing
 more fits, only the longest is tried; any other dominated one wastes more than the one that dominates it, so it never
 becomes the incumbent in its place. The filling found is repeated as often as the counts allow. Full sequences can't be
-improved on, and the incumbent keeps the search short; it is iterative, so no number of pieces is too deep for it.
+improved on, and the incumbent keeps the search short; it is iterative, so no number of pieces is too deep for it. Where a
+search has seen node_limit nodes without a full sequence, the branches that are left are bounded exactly: by the sums that any
+of the pieces left can reach, as bits of one number, from which a filling of least waste is read off. So every filling is of
+least waste, with any limit.
 
 Pieces then find their places without meeting each other: the n-th piece of a length, counted from per-partition
 counts, belongs to the plan entry whose range of n holds it.
@@ -72,7 +75,7 @@ class Completion:
         self.counts = dict(counts)
         self.lengths = sorted(counts)
         self.node_limit = node_limit
-        self.unproven = 0  # fillings for which the limit was met
+        self.limited = 0  # fillings for which the limit was met
 
     def _best_fit(self, room: int) -> list[int]:
         """The longest piece that fits, again and again: the incumbent."""
@@ -89,7 +92,7 @@ class Completion:
         return out
 
     def fill(self, room: int) -> list[int]:
-        """A filling that wastes as little of room as the search finds; proven least unless the node limit is met."""
+        """A filling that wastes as little of room as any can."""
         best = self._best_fit(room)
         waste = room - sum(best)
         if not waste or not self.lengths:
@@ -129,11 +132,34 @@ class Completion:
             if left < waste:
                 best, waste = list(taken), left
             if not waste or nodes >= self.node_limit:
-                self.unproven += bool(waste)
+                if waste:
+                    self.limited += 1
+                    exact = self._reached(room)
+                    best = exact if sum(exact) > room - waste else best
                 break
             frames.append([left, bisect.bisect_right(self.lengths, left, 0, hi), False])
         return best
 
+    def _reached(self, room: int) -> list[int]:
+        """A filling of least waste from the sums that the pieces reach: bit s of a number stands for the sum s."""
+        within, sums, lengths = (1 << room + 1) - 1, [1], []
+        for x in self.lengths:
+            if x > room or sums[-1] >> room & 1:
+                break
+            reach, rest, step = sums[-1], min(self.counts[x], room // x), 1
+            while rest:  # any number of pieces of this length, by doubling
+                step = min(step, rest)
+                reach |= reach << x * step & within
+                rest, step = rest - step, 2 * step
+            sums.append(reach)
+            lengths.append(x)
+        out, left = [], sums[-1].bit_length() - 1
+        for x, before in zip(reversed(lengths), reversed(sums[:-1]), strict=True):
+            while not before >> left & 1:  # the sum needs one more of this length
+                out.append(x)
+                left -= x
+        return out
+
     def take(self, pattern: list[int]) -> int:
         """Use the pattern as often as the counts allow; returns how often."""
         need: dict[int, int] = {}

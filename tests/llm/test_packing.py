@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from quarry.llm import packing
@@ -83,18 +84,21 @@ def test_short_documents_do_not_recurse():
         assert used == counts
 
 
-def test_fillings_are_least_where_proven():
-    rng = random.Random(4)
-    for _ in range(200):
+@pytest.mark.parametrize("limit", [1, 3, 10**6])
+def test_fillings_are_least_with_any_limit(limit):
+    rng, limited = random.Random(4), 0
+    for _ in range(300):
         counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 7))}
         room = rng.randint(1, 60)
-        search = packing.Completion(counts, 10**6)
+        search = packing.Completion(counts, limit)
         have = search.fill(room)
         reach = {0}
         for x, n in counts.items():
             reach = {a + k * x for a in reach for k in range(n + 1)}
-        assert sum(have) == max(a for a in reach if a <= room) and search.unproven == 0
+        assert sum(have) == max(a for a in reach if a <= room)
+        limited += search.limited
         assert all(have.count(x) <= counts[x] for x in have)
+    assert (limited > 0) == (limit < 10**6)
 
 
 def test_one_word_documents_and_clashing_columns(spark):
