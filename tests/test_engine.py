@@ -200,6 +200,39 @@ def test_stream(spark, lib, tmp_path):
     assert rows["NEW_0"] == "fresh words" and rows["NOTE_0"] == "changed" and store.table("meta").first().item_count == 7
 
 
+def test_a_stream_with_deletions_and_late_attachments(spark, tmp_path):
+    """The state after all batches is that of one build over what is left."""
+    source, pages = tmp_path / "items", tmp_path / "pages"
+    source.mkdir()
+    pages.mkdir()
+    for n in "abcd":
+        (pages / f"{n}.html").write_text(f"<p>{LONG} file {n}</p>")
+    page = lambda key, parent, n, v=1: _record(key, v, itemType="attachment", parentItem=parent, contentType="text/html", path=f"file://{pages}/{n}.html")
+    gone = lambda key, v=9: json.dumps({"key": key, "version": v, "deleted": True})
+    batches = [
+        [_record("W1", 1, itemType="book", title="One"), _record("W2", 1, itemType="book", title="Two"), _record("W3", 1, itemType="book", title="Three"), page("A3", "W3", "c"), page("EARLY", "W4", "d")],
+        [page("A1", "W1", "a"), gone("W2"), _record("W4", 2, itemType="book", title="Four")],  # a file a batch later; a work after its file
+        [page("A1", "W3", "a", 2), gone("A3"), _record("W5", 1, itemType="book", title="Five"), gone("W5", 1)],  # moved, deleted, and both in a batch
+    ]
+    store, embedder, files = SnapshotStore(spark, str(tmp_path / "stream"), "hashing-16", 16), HashingEmbedder(16), library.Files(spark, str(pages))
+    texts = []
+    for n, lines in enumerate(batches):
+        (source / f"{n}.json").write_text("\n".join(lines))
+        index_stream(spark, str(source), store, embedder, str(tmp_path / "check"), files).awaitTermination()
+        texts.append({r.item_key: r.fulltext[-6:] for r in store.table("chunks").where("chunk_type = 'metadata' and coalesce(fulltext, '') <> ''").collect()})
+    assert texts == [{"W3": "file c"}, {"W1": "file a", "W3": "file c", "W4": "file d"}, {"W1": "file a", "W3": "file a", "W4": "file d"}]
+    # W1's file has moved away: what was indexed of it is kept, as after any extraction that finds nothing.
+    assert {r.item_key: r.status for r in store.table("status").collect()} == {"W1": "no-attachment", "W3": "ok", "W4": "ok"}
+    left = tmp_path / "left"
+    left.mkdir()
+    (left / "all.json").write_text("\n".join([_record("W3", 1, itemType="book", title="Three"), page("A1", "W3", "a", 2), _record("W4", 2, itemType="book", title="Four"), page("EARLY", "W4", "d")]))
+    whole = SnapshotStore(spark, str(tmp_path / "whole"), "hashing-16", 16)
+    build_index(whole, library.read_items(spark, str(left)), embedder, files)
+    rows = lambda s, t: sorted(str(r) for r in s.table(t).where("item_key <> 'W1'").drop("zone").collect())
+    for t in ("chunks", "status", "versions"):
+        assert rows(store, t) == rows(whole, t), t
+
+
 def test_batch_embedder(spark):
     e = BatchEmbedder("lengths", 1, lambda: lambda texts: [[float(len(t))] for t in texts], batch=2)
     df = spark.createDataFrame([("a",), ("bbb",), (None,)], "t string")
