@@ -79,6 +79,7 @@ def search(
     compat_threshold: bool = False,
     terms: DataFrame | None = None,
     tops: DataFrame | None = None,
+    cells: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The best chunk of each of at most `limit` items, with all its columns and score.
 
@@ -88,7 +89,11 @@ def search(
     """
     k = OVERFETCH * limit
     words = lexical.search(chunks, query, k, filters, found, stats, stemming, terms, tops)
-    dense = vector.search(chunks, query_vector, k, filters)
+    if cells is None:
+        dense = vector.search(chunks, query_vector, k, filters)
+    else:  # an index's vectors, and the cells that they are kept in
+        allowed = filters.apply(chunks).select("chunk_id") if filters is not None and filters.any() else None
+        dense = vector.near(*cells, query_vector, k, allowed)
     fused = lexical.top(fuse(words, dense), k)
     # At most 5 * limit rows: their ids go to the scan as literals, which skip what an index sorted by chunk_id keeps apart.
     found_ids = [(r.chunk_id, r.score) for r in fused.collect()]

@@ -22,9 +22,9 @@ class Engine:
         chunks = self.store.table("chunks")
         if chunks.isEmpty():
             raise EmptyIndex("the index is empty; run build_index first")
-        chunks = vector.check_dimension(chunks, self.embedder.dim)
-        found, stats, terms, tops = (self.store.table(t) for t in ("postings", "stats", "terms", "peaks"))
-        hits = hybrid.search(chunks, query, self.embedder.one(query), limit, filters, reranker, found, stats, self.store.stemming, terms=terms, tops=tops)
+        found, stats, terms, tops, vectors, cells = (self.store.table(t) for t in ("postings", "stats", "terms", "peaks", "vectors", "cells"))
+        vectors = vector.check_dimension(vectors, self.embedder.dim)
+        hits = hybrid.search(chunks, query, self.embedder.one(query), limit, filters, reranker, found, stats, self.store.stemming, terms=terms, tops=tops, cells=(vectors, cells))
         return hybrid.search_output(hits)
 
     def sync_note(self) -> str | None:
