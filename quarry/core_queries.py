@@ -323,6 +323,14 @@ def rebuild_versions(spark, sf_dir):
     return sync.rebuilt_versions(_local(spark, sf_dir), remote, remote.where("cast(item_key as long) % 3 = 0"))
 
 
+def run_plan(spark, sf_dir):
+    """What a run has to know of each key, from all tables in one grouping: action, reason to try again, whether it is queued, the version after the run."""
+    kinds = F.when(F.col("fulltext") != "", F.array(F.lit("metadata"), F.lit("fulltext"))).otherwise(F.array(F.lit("metadata")))
+    chunks = _meta_chunks(spark, sf_dir).select("item_key", F.explode(kinds).alias("chunk_type"))
+    state = sync.keyed_state(_remote(spark, sf_dir), _local(spark, sf_dir), _status(spark, sf_dir), chunks)
+    return state.select("item_key", "action", "reason", "queued", "has_text", "next_version")
+
+
 def upsert_chunks(spark, sf_dir):
     old = _full_chunks(spark, sf_dir).select("chunk_id", "item_key", F.md5("text").alias("text_md5"))
     changed = _documents(spark, sf_dir).where("cast(item_key as long) % 5 = 0").withColumn("fulltext", F.concat(F.lit("x"), "fulltext"))
@@ -519,7 +527,7 @@ QUERIES = [
     chunk_documents, chunk_stats, metadata_chunks, prefix_ownership, html_strip, html_outcome_fallback, html_readability, note_strip, clean_text, pdf_outcome,
     tokenize_stats, postings, doc_frequency, bm25_top, bm25_filtered, bm25_per_item, bm25_multi_field, bm25_grammar, bm25_stemmed, grammar_constructs, phrase_query, stems,
     cosine_top, cosine_filtered, cosine_many, rrf_fusion, hybrid_search, hybrid_filtered, hybrid_reranked,
-    sync_diff, sync_counts, retry_keys, stale_no_attachment, untracked_keys, unchunked_keys, rebuild_versions, upsert_chunks, stored_snapshot, index_run, engine_search, delete_items, change_hash,
+    sync_diff, sync_counts, retry_keys, stale_no_attachment, untracked_keys, unchunked_keys, rebuild_versions, run_plan, upsert_chunks, stored_snapshot, index_run, engine_search, delete_items, change_hash,
     status_breakdown, issues_list, issues_ranked, tags_ranked, items_without_fulltext, index_counts, tags_list, tags_contains, authors_list, authors_contains, creators_strings,
     item_predicates, child_pick, pdf_paths, find_items, get_item, fulltext_slice, shortened,
 ]

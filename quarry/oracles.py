@@ -144,6 +144,14 @@ ORACLES = {
     "unchunked_keys": f"{_REMOTE} {_UNCHUNKED}",
     "rebuild_versions": f"""{_REMOTE}, done AS (SELECT * FROM remote WHERE CAST(item_key AS BIGINT) % 3 = 0)
       SELECT item_key, version FROM done UNION ALL SELECT item_key, version FROM local WHERE item_key IN (SELECT item_key FROM remote) AND item_key NOT IN (SELECT item_key FROM done)""",
+    "run_plan": f"""{_REMOTE}, keys AS (SELECT item_key FROM remote UNION SELECT item_key FROM local UNION SELECT item_key FROM status UNION SELECT item_key FROM metas),
+      why AS (SELECT item_key, 1 AS n, 'outcome' AS reason FROM status WHERE status IN ('failed', 'partial', 'suspicious') UNION ALL SELECT item_key, 2, 'untracked' FROM ({_UNTRACKED})
+        UNION ALL SELECT item_key, 3, 'unchunked' FROM ({_UNCHUNKED}) UNION ALL SELECT item_key, 4, 'stale' FROM ({_STALE})),
+      first AS (SELECT item_key, arg_min(reason, n) AS reason FROM why GROUP BY 1),
+      s AS (SELECT item_key, d.action, CASE WHEN r.item_key IS NOT NULL AND d.action IS NULL THEN f.reason END AS reason, r.version AS r, l.version AS l, coalesce(m.fulltext, '') <> '' AS has_text
+        FROM keys LEFT JOIN diff d USING (item_key) LEFT JOIN first f USING (item_key) LEFT JOIN remote r USING (item_key) LEFT JOIN local l USING (item_key) LEFT JOIN metas m USING (item_key))
+      SELECT item_key, action, reason, r IS NOT NULL AND (action IS NOT NULL OR reason IS NOT NULL) AS queued, has_text,
+        CASE WHEN r IS NOT NULL THEN CASE WHEN action IS NOT NULL OR reason IS NOT NULL THEN r ELSE l END END AS next_version FROM s""",
     "upsert_chunks": f"""WITH {CHUNKS}, up AS (SELECT item_key, ('x' || fulltext) AS u, unnest(range(CAST(CASE WHEN length(fulltext) + 1 <= 1000 THEN 1 ELSE 1 + ceil((length(fulltext) - 999) / 1000.0) END AS BIGINT))) AS i FROM items WHERE doc_id % 5 = 0)
       SELECT chunk_id, item_key, md5(text) AS text_md5 FROM chunks WHERE CAST(item_key AS BIGINT) % 5 <> 0 UNION ALL SELECT item_key || '_' || i, item_key, md5(substring(u, CAST(i * 1000 + 1 AS BIGINT), 1000)) FROM up""",
     "delete_items": f"WITH {CHUNKS} SELECT chunk_id, item_key FROM chunks WHERE CAST(item_key AS BIGINT) % 11 <> 0",

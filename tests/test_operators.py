@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,51 @@ def test_stemmed_search_over_all_chunks(spark, sf):
     got = {r.chunk_id: r.score for r in core_queries.bm25_stemmed(spark, sf).collect()}
     assert got.keys() == want.keys() - que
     assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in got)
+
+
+def _taken(rows, *columns):
+    return {tuple(r[c] for c in columns) for r in rows}
+
+
+def test_keyed_state_is_what_the_joins_give(spark):
+    """On random tables of 60 keys, against the functions of single questions."""
+    rng = random.Random(5)
+    for seed in range(3):
+        some = lambda n: rng.sample([f"K{i:02d}" for i in range(60)], n)
+        remote = spark.createDataFrame([(k, rng.randrange(1, 3)) for k in some(45)], V)
+        known = spark.createDataFrame([(k, rng.randrange(1, 3)) for k in some(45)], V)
+        outcomes = ["ok", "failed", "partial", "suspicious", "no-attachment"]
+        status = spark.createDataFrame([(k, rng.choice(outcomes), rng.choice([0, 2]), "t", "c") for k in some(35)], "item_key string, status string, status_version int, text_hash string, content_hash string")
+        metas = spark.createDataFrame([(k, rng.choice(["", "some text"])) for k in some(40)], "item_key string, fulltext string")
+        chunks = metas.select("item_key", F.lit("metadata").alias("chunk_type")).union(metas.where("fulltext <> ''").select("item_key", F.lit("fulltext")))
+        skipped, asked = (spark.createDataFrame([(k,) for k in some(n)], "item_key string") for n in (6, 5))
+        state = sync.keyed_state(remote, known, status, chunks, skipped, asked).persist()
+        changes = sync.diff(remote, known)
+        assert _taken(state.where("action is not null").collect(), "item_key", "action") == _taken(changes.collect(), "item_key", "action")
+        retry = sync.retry_keys(status, metas, known, remote, changes, skipped)
+        assert _taken(state.where("reason is not null").collect(), "item_key") == _taken(retry.collect(), "item_key")
+        asked_there = _taken(asked.join(remote, "item_key", "left_semi").collect(), "item_key")
+        queue = _taken(changes.where("action = 'add'").collect(), "item_key") | _taken(retry.collect(), "item_key") | asked_there
+        assert _taken(state.where("queued").collect(), "item_key") == queue
+        done = remote.where(F.col("item_key").isin(*[k for (k,) in queue]))
+        assert _taken(state.where("next_version is not null").collect(), "item_key", "next_version") == _taken(sync.rebuilt_versions(known, remote, done).collect(), "item_key", "version")
+        assert _taken(state.where("old_text = 't' and old_content = 'c' and tracked").collect(), "item_key") == _taken(status.collect(), "item_key")
+        assert state.count() == len(_taken(remote.union(known).select("item_key").union(status.select("item_key")).union(metas.select("item_key")).union(skipped).collect(), "item_key"))
+
+
+def test_keyed_state_of_nothing_of_repeated_rows_and_of_null_keys(spark):
+    empty = spark.createDataFrame([], V)
+    status, chunks = spark.createDataFrame([], "item_key string, status string"), spark.createDataFrame([], "item_key string, chunk_type string")
+    assert sync.keyed_state(empty, empty, status, chunks).count() == 0
+    remote = spark.createDataFrame([("A", 1), ("A", 1), (None, 1), ("N", None)], V)
+    rows = {r.item_key: r for r in sync.keyed_state(remote, spark.createDataFrame([("N", None), ("GONE", None)], V), status, chunks).collect()}
+    assert set(rows) == {"A", "N", "GONE"} and rows["A"].action == "add" and rows["GONE"].action == "delete"
+    assert rows["N"].action is None and rows["N"].reason == "unchunked" and rows["N"].queued  # a version that is unknown on both sides is the same
+
+
+def test_action_of_what_came_out(spark):
+    rows = [(1, "x", "h", "c", "h", "c", True, True), (2, "x", "h", "c2", "h", "c", True, True), (3, "", "e", "c", "h", "c", True, True), (4, "", "e", "c", None, None, False, False), (5, "x", "h", "c", "h", "c", False, True)]
+    df = spark.createDataFrame(rows, "n int, text string, text_hash string, content_hash string, old_text string, old_content string, indexed boolean, has_text boolean")
+    act = lambda **o: [r.a for r in df.select("n", sync.action_of(**o).alias("a")).orderBy("n").collect()]
+    assert act() == ["unchanged", "reindex", "protect", "reindex", "reindex"]
+    assert act(compat_text_only=True) == ["unchanged", "unchanged", "protect", "reindex", "reindex"]
