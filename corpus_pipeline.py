@@ -30,8 +30,8 @@ def identify_language(spark, docs, sf_dir):
 
 def classify_quality(spark, docs, sf_dir):
     """Drops documents whose posterior log-odds of being good are below the threshold."""
-    model = quality.fit(text_batches(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, "source", section(F.col("source"), F.col("lang"))).where("keep").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(text_batches(docs), labels, "source", section(F.col("source"), F.col("lang"))).where("keep").select(*docs.columns)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):

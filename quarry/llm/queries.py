@@ -55,9 +55,8 @@ def section(source, lang):
 
 
 def op6_quality(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
-    scored = quality.score(docs.select("doc_id", "text", "source", "lang"), model, "source", section(F.col("source"), F.col("lang")), keep_text=False)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    scored = quality.classify(docs, _read(spark, sf_dir, "labels"), "source", section(F.col("source"), F.col("lang")), keep_text=False)
     return scored.select("doc_id", "source", "evidence", "host_rate", "path_rate", "quality", "keep")
 
 

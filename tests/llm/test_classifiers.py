@@ -135,6 +135,41 @@ def test_quality_edges(spark):
     assert len(quality.score(df, quality.fit(df, labels), "host", "path").collect()) == len(rows)
 
 
+def test_quality_learns_from_all_labels(spark):
+    rng = np.random.default_rng(5)
+    n = 6000
+    y = rng.random(n) < 0.7
+    marks = rng.integers(0, 12, n) + np.where(y, 0, 5)
+    rows = [(i, "word " * int(rng.integers(1, 30)) + "#" * int(k), "a" if i % 3 else "b") for i, k in enumerate(marks)]
+    # A repeated row, an id with two labels, of which the larger counts, and a label without a document.
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, host string").repartition(7)
+    labels = spark.createDataFrame([*((i, int(v)) for i, v in enumerate(y)), (1, 0), (n + 5, 1)], "doc_id long, quality int")
+    x = np.array([quality.features(t) for _, t, _ in rows])
+    want = quality.train(x, y.astype(float))
+    model = quality.fit(docs, labels)
+    assert model.base == pytest.approx(want.base) and model.weight == pytest.approx(want.weight, abs=1e-6)
+    assert model.mean == pytest.approx(want.mean) and model.scale == pytest.approx(want.scale)
+    assert model.good.count() == y.sum()
+    for scored in (quality.score(docs, model, "host", "host"), quality.classify(docs, labels, "host", "host")):
+        got = scored.collect()
+        assert len(got) == n + 1
+        assert [r.evidence for r in sorted(got, key=lambda r: r.doc_id)[1:]] == pytest.approx(list(want.evidence(x)), abs=1e-6)
+        odds = {r.doc_id: math.log(r.quality / (1 - r.quality)) for r in got}
+        threshold = min(0.0, np.quantile([odds[i] for i in range(n) if y[i]], 0.002))
+        assert threshold < 0
+        assert all(r.keep == (odds[r.doc_id] >= threshold) for r in got if abs(odds[r.doc_id] - threshold) > 1e-9)
+
+
+def test_quantile_is_exact(spark):
+    rng = np.random.default_rng(6)
+    cases = [[3.0], [2.0] * 50, [-30.0, 30.0], [-30.0] * 5 + [1e-9, 2e-9, 3e-9] + [30.0] * 4, [0.1, np.nextafter(0.1, 1), np.nextafter(0.1, 0)], [*rng.normal(size=3000).round(2), *rng.normal(size=2000) ** 9]]
+    for values in cases:
+        df = spark.createDataFrame([(float(v),) for v in values], "odds double")
+        for share in (0.0, 0.002, 0.37, 1.0):
+            assert quality.quantile(df, share) == pytest.approx(np.quantile(values, share), rel=1e-14, abs=0)
+    assert quality.quantile(df.limit(0), 0.5) is None
+
+
 def test_predictions_against_plain_python(spark, sf):
     """The forward pass once more, by dictionaries of grams."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
