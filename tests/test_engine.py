@@ -287,3 +287,22 @@ def test_a_run_opens_only_the_files_it_needs(spark, tmp_path):
     wanted = spark.createDataFrame([(f"{pages}/d2.pdf",), (f"{pages}/d1.pdf",)], "location string")
     assert [r.location for r in files.contents(wanted).collect()] == [f"{pages}/d2.pdf"]
     assert files.contents(wanted.limit(0)).count() == 0 and "content" not in files.listing().columns
+
+
+def test_index_run_on_odd_rows_equals_sql(spark, tmp_path):
+    """Documents without a language or a text, and a text longer than what the engine keeps by default."""
+    import duckdb
+
+    from quarry.core_queries import index_run
+    from quarry.oracles import ORACLES
+
+    texts = [("plain words", None), (None, "en"), (None, "fr"), ("words é " * 262_144, "de"), ("é" * 20_801, "fr")]
+    rows = [(10 * i + k, t, lang, "s1") for i, (t, lang) in enumerate(texts) for k in range(5) if len(t or "") < 1 << 20 or k == 0]
+    labels = [(d, q, x) for d, *_ in rows for k, q, x in [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 0, 1)] if d % 10 == k]
+    for name, data, schema in (("documents", rows, "doc_id long, text string, lang string, source string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    key = lambda r: r[0]
+    assert sorted(map(tuple, index_run(spark, str(tmp_path)).collect()), key=key) == sorted(con.execute(ORACLES["index_run"]).fetchall(), key=key)
